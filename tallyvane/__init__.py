@@ -1 +1,8 @@
 """Document retrieval, answer verification and corpus data processing on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their code, so the package needs no installation there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
