@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.plans import corpus
+from tallyvane.plans import corpus, pipeline, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return corpus.queries()
+    return corpus.queries() | retrieval.queries() | pipeline.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | pipeline.SQL

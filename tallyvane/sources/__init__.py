@@ -1 +1 @@
-
+"""Configuration, document and index sources and sinks."""
