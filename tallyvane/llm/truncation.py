@@ -32,22 +32,29 @@ from pyspark.sql import functions as F
 
 from tallyvane.session import checkpoint, spread
 
-ORDERS = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32)
+ORDERS = (1, 2, 4, 6, 8, 12, 16, 24, 32)
 MARK = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…|[a-z ]{0,12})\]|…|�+|<[a-zA-Z/]{0,8}|&[a-zA-Z#0-9]{0,6};?))+\s*$")
 _NAME = re.compile(r"[A-Z][a-z]{4,}(?: [A-Z][a-z]{2,3}(?= [A-Z][a-z]{4}))?")
 _CODE = re.compile(r"(?:[A-Z0-9]{2,}-)+[A-Z0-9]+")
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"[0-9]+")
+_CODE_HINT = re.compile(r"-[A-Z0-9]{2,}")
 _INITIAL = re.compile(r"\b[A-Z]\. ")
-_BREAK = re.compile(r"\s*\n\s*")
 _ITEM = re.compile(r"(?m)^(?:[•*·–-]|0[.)]) .*$")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mask(text: str) -> str:
-    """Names as X, code words as Q, digits as 0, initials as I., line breaks as one line feed, spaces of list items as _."""
-    t = _BREAK.sub("\n", _INITIAL.sub("I. ", _DIGITS.sub("0", _NAME.sub("X", _CODE.sub("Q", text)))))
-    return _ITEM.sub(lambda m: m.group().replace(" ", "_"), t)
+    """Names as X, code words as Q, digits as 0, initials as I., line breaks as one line feed, spaces of list
+    items as _."""
+    if _CODE_HINT.search(text):
+        text = _CODE.sub("Q", text)
+    t = _DIGITS.sub("0", _NAME.sub("X", text))
+    if ". " in t:
+        t = _INITIAL.sub("I. ", t)
+    if "\n" in t:
+        t = _ITEM.sub(lambda m: m.group().replace(" ", "_"), "\n".join(x for x in map(str.strip, t.split("\n")) if x))
+    return t
 
 
 class Hasher:
@@ -68,8 +75,9 @@ class Hasher:
         np.cumsum(c * self.power[: len(c)], out=out[1:])
         return out
 
-    def at(self, prefix: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
-        h = (prefix[pos] - prefix[pos - k]) * self.inverse[pos - k] + np.uint64(k)
+    def at(self, prefix: np.ndarray, pos: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+        start = pos - k
+        h = (prefix[pos] - prefix[start]) * self.inverse[start] + (k.astype(np.uint64) if isinstance(k, np.ndarray) else np.uint64(k))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
@@ -78,7 +86,7 @@ def _end_contexts(docs: DataFrame) -> DataFrame:
     """(d, marked, tail, h): for each text whether a remnant ends it, its raw tail and its contexts' hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher, orders = Hasher(), np.array(ORDERS)
         for pdf in batches:
             marked, tails, hs = [], [], []
             for t in pdf["t"]:
@@ -87,13 +95,14 @@ def _end_contexts(docs: DataFrame) -> DataFrame:
                 s = mask(t[: m.start()] if m else t)
                 p = hasher.prefix(s)
                 n = len(s)
-                hs.append([int(hasher.at(p, np.array([n]), k).view(np.int64)[0]) for k in ORDERS if k <= n])
+                ks = orders[: np.searchsorted(orders, n, side="right")]
+                hs.append(hasher.at(p, np.full(len(ks), n), ks).view(np.int64).tolist())
                 marked.append(m is not None)
                 tails.append(t[-48:])
             yield pd.DataFrame({"d": pdf["d"], "l": pdf["l"], "marked": marked, "tail": tails, "h": hs})
 
-    # the last 800 characters: enough for the longest context and the list item or line it stands in
-    short = docs.select("d", "l", F.when(F.length("t") > 800, F.expr("right(rtrim(t), 800)")).otherwise(F.col("t")).alias("t")).where(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
+    # the last 320 characters: enough for the longest context and the list item or line it stands in
+    short = docs.select("d", "l", F.when(F.length("t") > 320, F.expr("right(rtrim(t), 320)")).otherwise(F.col("t")).alias("t")).where(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
     return short.mapInPandas(run, "d bigint, l string, marked boolean, tail string, h array<bigint>")
 
 
