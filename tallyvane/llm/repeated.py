@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvane.session import dense_index
+from tallyvane.session import checkpoint, dense_index
 
 
 def line_letters(line: Column) -> Column:
@@ -37,10 +37,20 @@ def element_lines(elements: DataFrame) -> DataFrame:
     return rows.select("element_id", "document", split.alias("line_no", "line")).withColumn("key", line_letters(F.col("line"))).where("key <> ''")
 
 
+def hashed_lines(elements: DataFrame, min_lines: int) -> DataFrame:
+    """(element_id, line_no, d1, d2, k1, k2, variant) of the lines whose letters occur at least `min_lines` times.
+
+    Document, letters and printed form are kept as hashes (96 bits for what is joined), and lines too rare to be a
+    case anywhere are dropped before anything else is joined: their number is known from one pre-aggregated count.
+    """
+    h = element_lines(elements).select("element_id", F.col("line_no").cast("int").alias("line_no"), F.xxhash64("document").alias("d1"), F.hash("document").alias("d2"), F.xxhash64("key").alias("k1"), F.hash("key").alias("k2"), F.xxhash64("line").alias("variant"))
+    often = h.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_lines).select("k1", "k2")
+    return h.join(often, ["k1", "k2"], "left_semi")
+
+
 def line_bitmaps(lines: DataFrame, numbered: DataFrame) -> DataFrame:
     """(company, k1, k2, word_no, word): the OR of all variants' bitmaps, non-empty words only."""
-    bit = F.expr("shiftleft(1L, cast(doc_no % 64 as int))")
-    at = lines.join(numbered, "document").select("company", F.xxhash64("key").alias("k1"), F.hash("key").alias("k2"), F.xxhash64("line").alias("variant"), F.floor(F.col("doc_no") / 64).cast("bigint").alias("word_no"), bit.alias("bit"))
+    at = lines.join(numbered, ["d1", "d2"]).select("company", "k1", "k2", "variant", F.floor(F.col("doc_no") / 64).cast("bigint").alias("word_no"), F.expr("shiftleft(1L, cast(doc_no % 64 as int))").alias("bit"))
     variants = at.groupBy("company", "k1", "k2", "variant", "word_no").agg(F.bit_or("bit").alias("word"))
     return variants.groupBy("company", "k1", "k2", "word_no").agg(F.bit_or("word").alias("word"))
 
@@ -49,14 +59,14 @@ def repeated_lines(elements: DataFrame, manifest: DataFrame, min_docs: int = 4,
     """(element_id, line_no) of every line that occurs in at least `min_docs` distinct documents of its company
     and in at least `min_share` of the company's documents that occur in `elements`."""
     docs = elements.where("document is not null").select("document").distinct().join(manifest.where("company is not null").groupBy("document").agg(F.first("company").alias("company")), "document")
-    numbered = dense_index(docs, ["company"], ["document"], "doc_no")
+    numbered = dense_index(docs, ["company"], ["document"], "doc_no").select(F.xxhash64("document").alias("d1"), F.hash("document").alias("d2"), "company", "doc_no")
     sizes = docs.groupBy("company").agg(F.count(F.lit(1)).alias("n_docs"))
-    lines = element_lines(elements)
-    maps = line_bitmaps(lines.select("document", "line", "key"), numbered)
+    lines = checkpoint(hashed_lines(elements, min_docs))
+    maps = line_bitmaps(lines, numbered)
     counts = maps.groupBy("company", "k1", "k2").agg(F.sum(F.bit_count("word")).alias("n"))
     # 1e-9: a share that is exact in decimals must not fail by a rounding of the product
     cases = counts.where(F.col("n") >= min_docs).join(sizes, "company").where(F.col("n") >= F.col("n_docs") * min_share - 1e-9).select("company", "k1", "k2")
-    keyed = lines.join(numbered.select("document", "company"), "document").select("element_id", "line_no", "company", F.xxhash64("key").alias("k1"), F.hash("key").alias("k2"))
+    keyed = lines.join(numbered.select("d1", "d2", "company"), ["d1", "d2"]).select("element_id", "line_no", "company", "k1", "k2")
     return keyed.join(cases, ["company", "k1", "k2"], "left_semi").select("element_id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
 
 
