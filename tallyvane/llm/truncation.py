@@ -67,8 +67,19 @@ class Hasher:
         self.size = size
         self.power, self.inverse = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, v, np.uint64))), dtype=np.uint64) for v in (_BASE, _INVERSE))
 
+    @staticmethod
+    def codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+    @staticmethod
+    def single(codes: np.ndarray) -> np.ndarray:
+        """The hashes that `at` gives for contexts of one character."""
+        h = (codes.astype(np.uint64) + np.uint64(8)) * np.uint64(1)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
     def prefix(self, text: str) -> np.ndarray:
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(7)
+        c = self.codes(text).astype(np.uint64) + np.uint64(7)
         if len(c) > self.size:
             self.grow(2 * len(c))
         out = np.zeros(len(c) + 1, np.uint64)
@@ -98,7 +109,7 @@ def _end_contexts(docs: DataFrame) -> DataFrame:
                 ks = orders[: np.searchsorted(orders, n, side="right")]
                 hs.append(hasher.at(p, np.full(len(ks), n), ks).view(np.int64).tolist())
                 marked.append(m is not None)
-                tails.append(t[-48:])
+                tails.append(t[-200:])
             yield pd.DataFrame({"d": pdf["d"], "l": pdf["l"], "marked": marked, "tail": tails, "h": hs})
 
     # the last 320 characters: enough for the longest context and the list item or line it stands in
@@ -125,16 +136,21 @@ def _continuations(docs: DataFrame, keys: DataFrame, per_key: int = 16, most_bit
             u, n = np.unique(np.concatenate(parts), return_counts=True)
             return pd.DataFrame({"h": u.view(np.int64), "n": n.astype(np.int64)})
 
-        parts, size = [], 0
+        parts, size, chars = [], 0, np.zeros(0, np.int64)
         for pdf in batches:
             for t in pdf["t"]:
                 t = t.rstrip()
                 m = MARK.search(t, max(0, len(t) - 40))
                 s = mask(t[: m.start()] if m else t)
                 p = hasher.prefix(s)
-                pos = np.arange(1, len(s))
-                for k in ORDERS:
-                    pos = pos[pos >= k] if k > 1 else pos
+                # contexts of one character are counted by their code, longer ones by hash where the shorter passed
+                n = np.bincount(hasher.codes(s)[:-1])
+                if len(n) > len(chars):
+                    chars = np.concatenate((chars, np.zeros(len(n) - len(chars), np.int64)))
+                chars[: len(n)] += n
+                pos = np.arange(2, len(s))
+                for k in ORDERS[1:]:
+                    pos = pos[pos >= k] if k > 2 else pos
                     if not len(pos):
                         break
                     h = hasher.at(p, pos, k)
@@ -146,6 +162,8 @@ def _continuations(docs: DataFrame, keys: DataFrame, per_key: int = 16, most_bit
                 if size > 2_000_000:
                     yield counted(parts)
                     parts, size = [], 0
+        seen = np.flatnonzero(chars)
+        yield pd.DataFrame({"h": hasher.single(seen).view(np.int64), "n": chars[seen]})
         if parts:
             yield counted(parts)
 
