@@ -66,9 +66,10 @@ def document_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", so
 def source_budget(tokens: DataFrame, targets: DataFrame, size: float | None = None) -> DataFrame:
     """Per target source: n_docs, tokens, target_tokens, copies (expected copies a document, capped) and
     reachable. The mix's size is the whole corpus unless `size` is given (in tokens)."""
-    by = tokens.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
+    # one row a source; kept, as both the sources and their total need it and counting tokens is the costly part
+    by = checkpoint(tokens.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")))
     all_tokens = by.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens")) if size is None else tokens.sparkSession.range(1).select(F.lit(float(size)).alias("all_tokens"))
-    t = targets.join(by, "source", "left").fillna(0, ["tokens", "n_docs"]).join(F.broadcast(all_tokens))  # one row
+    t = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").fillna(0, ["tokens", "n_docs"]).join(F.broadcast(all_tokens))  # one row
     need = F.col("target_share") * F.col("all_tokens")
     return t.select(
         "source", "target_share", "max_repeats", "n_docs", "tokens", need.alias("target_tokens"),
@@ -92,5 +93,5 @@ def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: docs used, tokens in the mix and the actual share beside the target share."""
     by = mix.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
     total = by.agg(F.sum("mix_tokens").alias("all_mix"))
-    t = targets.join(by, "source", "left").fillna(0, ["docs", "mix_tokens", "most_copies"]).join(F.broadcast(total))  # one row
+    t = targets.select("source", "target_share").join(by, "source", "left").fillna(0, ["docs", "mix_tokens", "most_copies"]).join(F.broadcast(total))  # one row
     return t.select("source", "target_share", "docs", "mix_tokens", "most_copies", (F.col("mix_tokens") / F.col("all_mix")).alias("actual_share"))
