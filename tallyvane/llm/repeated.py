@@ -32,7 +32,7 @@ def latest(df: DataFrame, key: str, at: str) -> DataFrame:
 
 def element_lines(elements: DataFrame) -> DataFrame:
     """(element_id, document, line_no, line, key) of text elements' lines with letters, one row a line."""
-    split = F.posexplode(F.split("content", r"\r\n|\n|\r(?!\n)"))
+    split = F.posexplode(F.split("content", r"\r?\n"))
     rows = elements.where("element_type = 'text' and content is not null and document is not null and element_id is not null")
     return rows.select("element_id", "document", split.alias("line_no", "line")).withColumn("key", line_letters(F.col("line"))).where("key <> ''")
 
@@ -76,5 +76,5 @@ def without_lines(elements: DataFrame, found: DataFrame, key: str = "element_id"
     Elements without a found line keep their text unchanged.
     """
     gone = found.groupBy(F.col(key).alias("__k")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split(text, r"\r\n|\n|\r(?!\n)").alias("l"), F.sequence(F.lit(0), F.size(F.split(text, r"\r\n|\n|\r(?!\n)")) - 1).alias("i")), lambda x: ~F.array_contains("__gone", x["i"].cast("bigint"))), lambda x: x["l"]), "\n")
+    kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split(text, r"\r?\n").alias("l"), F.sequence(F.lit(0), F.size(F.split(text, r"\r?\n")) - 1).alias("i")), lambda x: ~F.array_contains("__gone", x["i"].cast("bigint"))), lambda x: x["l"]), "\n")
     return elements.join(gone, F.col(key) == F.col("__k"), "left").withColumn(text, F.when(F.col("__gone").isNotNull() & F.col(text).isNotNull(), kept).otherwise(F.col(text))).drop("__k", "__gone")

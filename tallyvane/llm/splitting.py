@@ -53,7 +53,7 @@ def items(chunks: DataFrame, elements: DataFrame, limits: DataFrame) -> DataFram
     e = elements.where("element_type in ('text', 'table')").select("element_id", "element_type", F.when(F.col("element_type") == "text", F.col("content")).alias("t"), F.when(F.col("element_type") == "table", F.col("grid")).alias("g"), "ingested_at")
     e = e.select(F.lit("element").alias("record_kind"), F.col("element_id").cast("string").alias("record_id"), F.col("element_type").alias("item_type"), F.when(F.col("element_type") == "text", F.length("t")).otherwise(grid_size(F.col("g"))).cast("bigint").alias("size"), "t", "g", F.col("ingested_at").alias("at"))
     both = c.withColumn("at", F.lit(None).cast("timestamp")).unionByName(e).where(F.col("size").isNotNull() & F.col("record_id").isNotNull())
-    return both.join(F.broadcast(limits), ["record_kind", "item_type"])  # one row for each kind and type
+    return both.join(F.broadcast(limits.select("record_kind", "item_type", "max_chars", "overlap_chars")), ["record_kind", "item_type"])  # one row for each kind and type
 
 
 def oversized(chunks: DataFrame, elements: DataFrame, limits: DataFrame) -> DataFrame:
