@@ -5,8 +5,9 @@ pruning (PELT) finds the segmentation of least cost plus `penalty` per changepoi
 matches a known factor (a power of ten or a unit conversion) within `tolerance` marks a unit change: values of
 later segments are multiplied back to the unit of the first.
 
-Histories are cut into blocks of at most `block` values so that a source with a third of all rows is still spread
-over tasks; a shift at a block's start is judged against the previous block's last level by an equi-join.
+Histories longer than `block` values are cut into consecutive blocks so that a source with a third of all rows is
+still spread over tasks; a block is searched by itself, and its first segment is compared with the last one of
+the block before.
 Defined results: null, zero and non-finite values are left out of the levels and keep their factor of the segment
 they fall in by order; a source with one value has one segment; ties in time are ordered by id.
 """
@@ -21,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyvane.session import dense_index
-
 #: log10 of factors between units in which one quantity is commonly recorded (fixed values).
 FACTORS = {"thousand": 3.0, "million": 6.0, "billion": 9.0, "hundred": 2.0, "lb_kg": float(np.log10(0.45359237)), "short_ton_kg": float(np.log10(907.18474)), "sqft_m2": float(np.log10(0.09290304)), "acre_m2": float(np.log10(4046.8564224)), "gal_l": float(np.log10(3.785411784)), "barrel_l": float(np.log10(158.987294928)), "mile_km": float(np.log10(1.609344)), "gj_kwh": float(np.log10(2500 / 9))}
 
@@ -54,10 +53,17 @@ def unit_factor(shift: float, tolerance: float = 0.15) -> tuple[str, float] | No
     return (name, float(np.sign(shift) * abs(f))) if abs(abs(shift) - abs(f)) <= tolerance else None
 
 
-def value_segments(df: DataFrame, source: str, order: list[str], value: str, penalty: float = 2.0, block: int = 4096) -> DataFrame:
-    """Adds block_no, segment_no (within its block) and level (mean log10 |value| of the segment)."""
-    numbered = dense_index(df, [source], order, "__n").withColumn("__b", F.floor(F.col("__n") / block).cast("bigint"))
-    # blocks follow the order only within a hashed sub-group of a large source; each is a history of its own
+def value_segments(df: DataFrame, source: str, order: list[str], value: str, penalty: float = 2.0, block: int = 4096, most_blocks: int = 256) -> DataFrame:
+    """Adds block_no, segment_no (within its block) and level (mean log10 |value| of the segment).
+
+    Blocks are stretches of the order, cut at approximate quantiles of its first column (a mergeable sketch per
+    source); a source of at most `block` rows is one block.
+    """
+    at = F.coalesce(F.col(order[0]).cast("double"), F.lit(-1e308))
+    grid = [i / most_blocks for i in range(1, most_blocks)]
+    marks = df.groupBy(source).agg(F.percentile_approx(at, F.array(*[F.lit(x) for x in grid]), 10000).alias("__q"), F.ceil(F.count(F.lit(1)) / block).alias("__nb")).withColumnRenamed(source, "__src")
+    step = F.size(F.filter("__q", lambda q: q < F.col("__at")))
+    numbered = df.withColumn("__at", at).join(marks, F.col(source).eqNullSafe(F.col("__src"))).withColumn("__b", F.floor(step * F.least(F.col("__nb"), F.lit(most_blocks)) / most_blocks).cast("bigint")).drop("__at", "__q", "__nb", "__src")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,8 +79,7 @@ def value_segments(df: DataFrame, source: str, order: list[str], value: str, pen
             lo = where[a] if i else 0
             hi = where[b] if b < len(x) else len(v)
             seg[lo:hi], level[lo:hi] = i, x[a:b].mean()
-        out = pdf.drop(columns=["__n", "__b"])
-        return out.assign(block_no=pdf["__b"], segment_no=seg, level=level)
+        return pdf.drop(columns=["__b"]).assign(block_no=pdf["__b"], segment_no=seg, level=level)
 
     return numbered.groupBy(source, "__b").applyInPandas(run, f"{schema}, block_no bigint, segment_no bigint, level double")
 
@@ -83,8 +88,7 @@ def unit_changes(df: DataFrame, source: str, order: list[str], value: str, penal
     """(source, block_no, segment_no, level, shift, unit_change): one row a segment; unit_change names the known
     factor of the shift from the segment before, null if it matches none or there is none."""
     s = value_segments(df, source, order, value, penalty).groupBy(source, "block_no", "segment_no").agg(F.first("level").alias("level"), F.count(F.lit(1)).alias("n_values"))
-    shift = F.col("level") - F.lag("level").over(W.partitionBy(source, "block_no").orderBy("segment_no"))
-    known = F.lit(None).cast("string")
-    for name, f in sorted(FACTORS.items(), key=lambda kv: -abs(kv[1])):
-        known = F.when(F.abs(F.abs(F.col("shift")) - abs(f)) <= tolerance, F.lit(name)).otherwise(known)
+    shift = F.col("level") - F.lag("level").over(W.partitionBy(source).orderBy("block_no", "segment_no"))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.abs(F.col("shift")) - abs(f)).alias("d"), F.lit(name).alias("name")) for name, f in FACTORS.items()]))
+    known = F.when(near["d"] <= tolerance, near["name"])
     return s.withColumn("shift", shift).withColumn("unit_change", known)

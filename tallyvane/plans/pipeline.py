@@ -129,15 +129,34 @@ def text_chunks(spark, d):
     return chunking.pack_texts(table(spark, d, "documents"), "doc_id", "text", 100, 16).select("doc_id", "piece_no", F.md5("piece").alias("piece"), F.length("piece").alias("n"))
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{X.WS}+|{X.WS}+$', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"CASE WHEN {_strip(x)} = '' THEN {_EMPTY} ELSE regexp_split_to_array({_strip(x)}, '{X.WS}+') END"
+
+
+_EMPTY = "CAST([] AS VARCHAR[])"
+SQL["text_chunks"] = f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(text, '\n{{2,}}'), 1) AS pi FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, pi, {_strip('p')} AS p FROM p WHERE {_strip('p')} <> ''),
+v AS (SELECT doc_id, pi, CASE WHEN len({_words('p')}) <= 100 THEN [p] ELSE regexp_split_to_array(regexp_replace(p, '([.!?]){X.WS}+', '\\1' || chr(1), 'g'), chr(1)) END AS us FROM q),
+w AS (SELECT doc_id, pi, unnest(us) AS unit, generate_subscripts(us, 1) AS si FROM v),
+u AS (SELECT doc_id, unit, len({_words('unit')}) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) AS i FROM w),
+r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS cur, CAST(0 AS BIGINT) AS have, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS emit FROM u
+UNION ALL
+SELECT doc_id, i, CASE WHEN over AND nl IS NOT NULL THEN array_to_string(tail, ' ') || ' ' || unit WHEN cur IS NULL THEN unit ELSE cur || ' ' || unit END, CASE WHEN over AND nl IS NOT NULL THEN len(tail) ELSE have END + n, nl, emit
+FROM (SELECT *, list_slice({_words('nl')}, -16, -1) AS tail FROM (SELECT r.doc_id, u.i, u.unit, u.n, r.cur, r.have, r.have + u.n > 100 AS over, CASE WHEN r.have + u.n > 100 THEN r.cur END AS emit, CASE WHEN r.have + u.n > 100 AND r.cur IS NOT NULL THEN r.cur ELSE r.last END AS nl FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1))),
+e AS (SELECT doc_id, i, emit AS piece FROM r WHERE emit IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM r WHERE cur IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS piece_no, md5(piece) AS piece, length(piece) AS n FROM e WHERE {_strip('piece')} <> ''"""
+
+
 def table_to_text(spark, d):
     """Every table element as text."""
     e = _elements(spark, d).where("element_type = 'table'")
     return e.select("element_id", T.table_text(F.col("grid"), F.col("caption"), F.col("section")).alias("text"))
 
 
-_EMPTY = "CAST([] AS VARCHAR[])"
-
-
 def _table_text_sql(grid: str, caption: str, section: str) -> str:
     w = f"list_max([len(coalesce(r, {_EMPTY})) for r in {grid}])"
     cells = lambda r: f"list_resize([coalesce(c, '') for c in coalesce({r}, {_EMPTY})], {w}, '')"
