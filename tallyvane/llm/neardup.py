@@ -121,9 +121,10 @@ def similar_classes(texts: DataFrame, threshold: float = 0.7, shingle: int = 5,
     least = round(128 * (1 + threshold) / 2) - slack
     cut = char_shingles if unit == "char" else word_shingles
     keyed = texts.where(F.col("t").isNotNull()).select("id", "t", F.xxhash64("t").alias("h1"), F.md5("t").alias("h2"))
-    reps = keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"))
-    classes = keyed.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "class_id")
-    firsts = spread(keyed.join(reps.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.xxhash64("id").alias("r"), "id", "t"))
+    # one text a class, written once: it is read by the signatures and by both sides of the verification
+    reps = checkpoint(keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "t")).alias("m")).select("h1", "h2", F.col("m.id").alias("class_id"), F.col("m.t").alias("t")))
+    classes = keyed.select("id", "h1", "h2").join(reps.select("h1", "h2", "class_id"), ["h1", "h2"]).select("id", "class_id")
+    firsts = reps.select(F.xxhash64("class_id").alias("r"), F.col("class_id").alias("id"), "t")
     if unit == "char":
         firsts = firsts.where(F.length("t") >= shingle)
 
@@ -145,7 +146,7 @@ def similar_classes(texts: DataFrame, threshold: float = 0.7, shingle: int = 5,
                     key = mix(key * _GOLD + folded[:, :, j])
                 yield pd.DataFrame({"k": key.view(np.int64).ravel(), "r": np.repeat(ids, bands), "s1": np.repeat(bits[:, 0], bands), "s2": np.repeat(bits[:, 1], bands)})
 
-    banded = checkpoint(firsts.select("r", "t").mapInPandas(sign, "k bigint, r bigint, s1 bigint, s2 bigint"))
+    banded = checkpoint(spread(firsts.select("r", "t")).mapInPandas(sign, "k bigint, r bigint, s1 bigint, s2 bigint"))
     # only buckets with company are joined; their skew is left to the adaptive skew join
     shared = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     b = banded.join(shared, "k", "left_semi")
