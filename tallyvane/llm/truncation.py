@@ -136,32 +136,53 @@ def _continuations(docs: DataFrame, keys: DataFrame, per_key: int = 16, most_bit
             u, n = np.unique(np.concatenate(parts), return_counts=True)
             return pd.DataFrame({"h": u.view(np.int64), "n": n.astype(np.int64)})
 
-        parts, size, chars = [], 0, np.zeros(0, np.int64)
+        def hits(texts: list[str]) -> list[np.ndarray]:
+            """The passing contexts of two characters and more of texts laid end to end."""
+            sizes = np.array([len(s) for s in texts])
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            p = hasher.prefix("".join(texts))
+            # offset within its text of each position; a text's own end is no continuation
+            within = np.arange(len(p) - 1) - np.repeat(starts, sizes)
+            pos, out = np.flatnonzero(within >= 2), []
+            room = within[pos]
+            for k in ORDERS[1:]:
+                if k > 2:
+                    far = room >= k
+                    pos, room = pos[far], room[far]
+                if not len(pos):
+                    break
+                h = hasher.at(p, pos, k)
+                i = h >> shift
+                ok = (filt[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
+                pos, room, h = pos[ok], room[ok], h[ok]
+                out.append(h)
+            return out
+
+        parts, size, chars, texts, have = [], 0, np.zeros(0, np.int64), [], 0
         for pdf in batches:
             for t in pdf["t"]:
                 t = t.rstrip()
                 m = MARK.search(t, max(0, len(t) - 40))
                 s = mask(t[: m.start()] if m else t)
-                p = hasher.prefix(s)
-                # contexts of one character are counted by their code, longer ones by hash where the shorter passed
-                n = np.bincount(hasher.codes(s)[:-1])
-                if len(n) > len(chars):
-                    chars = np.concatenate((chars, np.zeros(len(n) - len(chars), np.int64)))
-                chars[: len(n)] += n
-                pos = np.arange(2, len(s))
-                for k in ORDERS[1:]:
-                    pos = pos[pos >= k] if k > 2 else pos
-                    if not len(pos):
-                        break
-                    h = hasher.at(p, pos, k)
-                    i = h >> shift
-                    ok = (filt[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    pos, h = pos[ok], h[ok]
-                    parts.append(h)
-                    size += len(h)
+                texts.append(s)
+                have += len(s)
+                if have > 40_000:
+                    n = np.bincount(hasher.codes("".join(s[:-1] for s in texts)))
+                    if len(n) > len(chars):
+                        chars = np.concatenate((chars, np.zeros(len(n) - len(chars), np.int64)))
+                    chars[: len(n)] += n
+                    new = hits(texts)
+                    parts += new
+                    size += sum(map(len, new))
+                    texts, have = [], 0
                 if size > 2_000_000:
                     yield counted(parts)
                     parts, size = [], 0
+        if texts:
+            n = np.bincount(hasher.codes("".join(s[:-1] for s in texts)), minlength=len(chars))
+            n[: len(chars)] += chars
+            chars = n
+            parts += hits(texts)
         seen = np.flatnonzero(chars)
         yield pd.DataFrame({"h": hasher.single(seen).view(np.int64), "n": chars[seen]})
         if parts:
