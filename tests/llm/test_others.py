@@ -209,3 +209,23 @@ def test_clashing_extra_columns(spark):
     assert M.mix_report(mix, clash(targets)).count() == 1
     assert T.truncated(clash(docs)).count() == 1
     assert L.leaks_found(clash(docs), clash(spark.createDataFrame([(1, "x" * 80)], "item_id bigint, text string"))).count() == 0
+
+
+def test_context_counts_against_brute_force(spark):
+    import numpy as np
+
+    r = random.Random(1)
+    texts = ["".join(r.choice("ab .") for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    df = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "d bigint, l string, t string").where("trim(t) <> ''")
+    keys = T._end_contexts(df).select(F.explode("h").alias("h")).distinct()
+    got = {x.h: x.n_on for x in T._continuations(df, keys).collect()}
+    want: dict[int, int] = defaultdict(int)
+    h = T.Hasher()
+    for t in texts:
+        s = T.mask(t.rstrip())
+        p = h.prefix(s)
+        for pos in range(1, len(s)):
+            ks = np.array([k for k in T.ORDERS if k <= pos])
+            for x in h.at(p, np.full(len(ks), pos), ks).view(np.int64).tolist():
+                want[x] += 1
+    assert all(got.get(x.h, 0) == want[x.h] for x in keys.collect())
