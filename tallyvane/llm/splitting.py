@@ -93,7 +93,7 @@ def cut_table(big: DataFrame) -> DataFrame:
     """
     pos = F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(RANGE))
     ranges = big.withColumn("r", F.explode(F.transform(pos, lambda s: F.struct(s.alias("s"), F.col("t").substr(F.greatest(s - HALO, F.lit(0)).cast("int") + 1, F.lit(RANGE + 2 * HALO)).alias("x")))))
-    ranges = spread(ranges.select("record_kind", "record_id", F.col("item_type") == "table", "size", "max_chars", "overlap_chars", F.col("r.s").alias("s"), F.col("r.x").alias("x")).toDF("record_kind", "record_id", "is_table", "size", "max_chars", "overlap_chars", "s", "x"))
+    ranges = spread(ranges.select("record_kind", "record_id", F.col("item_type") == "table", "size", "max_chars", "overlap_chars", F.col("r.s").alias("s"), F.col("r.x").alias("x")).toDF("record_kind", "record_id", "is_table", "size", "max_chars", "overlap_chars", "s", "x"), "record_id", "s")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
