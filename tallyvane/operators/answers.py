@@ -138,3 +138,26 @@ def describe_charts(elements: DataFrame, model: Describer | None = None) -> Data
             yield pdf.assign(description=texts)
 
     return elements.mapInPandas(run, schema)
+
+
+def judge(rows: DataFrame, model: Callable[[str, str], str], system: str = "Score from 0 to 1 as JSON with keys score and reason.") -> DataFrame:
+    """Adds score and reason to rows(query_id, text): one judge call a row, its JSON read and the score clamped to
+    [0, 1]; a failing call or text that is no JSON scores 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf["text"]:
+                try:
+                    out.append(model(system, t))
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pdf.assign(raw=pd.Series(out, dtype="object", index=pdf.index))
+
+    j = rows.select("query_id", "text").mapInPandas(run, "query_id bigint, text string, raw string")
+    return j.select("query_id", T.clamp_score(F.get_json_object("raw", "$.score")).alias("score"), F.coalesce(F.get_json_object("raw", "$.reason"), F.lit("")).alias("reason"))
+
+
+def append_history(results: DataFrame, path: str) -> None:
+    """Appends query_id, answer and abstained to a history table."""
+    results.select("query_id", "answer", "abstained").write.mode("append").parquet(path)

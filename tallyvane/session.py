@@ -51,10 +51,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *cols) -> DataFrame:
     """Give every core work before a costly per-row stage: few large input splits otherwise leave cores idle.
 
-    The number of partitions follows the session's parallelism and the input's own, so it grows with the data.
+    Without columns (for plans that begin at a scan or a written table) the number of partitions is three a core,
+    or the input's own if that is more, so it grows with the data. With columns the rows are dealt by their hash
+    into the session's shuffle partitions, which adaptive execution merges where they are small; this is for plans
+    behind joins or aggregates, whose partitions are not known before they run.
     """
+    if cols:
+        return df.repartition(*cols)
     n = max(df.sparkSession.sparkContext.defaultParallelism * 3, df.rdd.getNumPartitions())
-    return df.repartition(n, *cols)
+    return df.repartition(n)
 
 
 def dense_index(df: DataFrame, group: list[str], order: list[str], out: str, salts: int = 64) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ELEMENT = (
@@ -73,3 +73,35 @@ def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunks as Parquet, one folder a chunk_type, so that a text-only corpus prunes the rest."""
     chunks.write.mode("overwrite").partitionBy("chunk_type").parquet(path)
+
+
+def figure_name() -> Column:
+    """A unique file name of a figure: company, year, page and a hash of document and box."""
+    box = F.xxhash64("document", "page", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    return F.concat_ws("_", F.regexp_replace(F.coalesce("company", F.lit("none")), r"[^\p{L}\p{N}]+", "-"), F.coalesce(F.col("year").cast("string"), F.lit("0")), F.concat(F.lit("p"), F.coalesce(F.col("page").cast("string"), F.lit("0"))), F.lower(F.hex(box)))
+
+
+def save_figures(figures: DataFrame, folder: str, image: str = "image") -> DataFrame:
+    """Writes the PNG bytes of column `image` below a folder (any file system URI) where they lie, and returns the
+    rows with image_path instead. Rows without bytes get no path; writing again replaces the same file."""
+    keep = [c for c in figures.columns if c not in (image, "image_path")]
+    named = figures.select(*keep, F.col(image).alias("__image"), figure_name().alias("__name"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in figures.select(*keep).schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        filesystem, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        filesystem.create_dir(root, recursive=True)
+        for pdf in batches:
+            paths = []
+            for name, data in zip(pdf["__name"], pdf["__image"]):
+                if data is None:
+                    paths.append(None)
+                    continue
+                with filesystem.open_output_stream(f"{root}/{name}.png") as out:
+                    out.write(bytes(data))
+                paths.append(f"{folder}/{name}.png")
+            yield pdf.drop(columns=["__image", "__name"]).assign(image_path=pd.Series(paths, dtype="object", index=pdf.index))
+
+    return named.mapInPandas(run, f"{schema}, image_path string")

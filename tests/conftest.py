@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tallyvane.session import local_session
 
-    s = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    s = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "2"})
     yield s
     s.stop()

@@ -99,3 +99,11 @@ def test_chart_descriptions(spark, skip):
     e = spark.createDataFrame([("chart", "p.png", "cap", None), ("text", None, None, None)], "element_type string, image_path string, caption string, description string")
     r = describe_charts(e, None if skip else (lambda p, c: 1 / 0)).collect()
     assert len(r) == (1 if skip else 2) and (skip or [x.description for x in r if x.element_type == "chart"] == [""])
+
+
+def test_save_figures(spark, tmp_path):
+    rows = [("Co A", "D", 2020, 1, (1.0, 2.0, 3.0, 4.0), bytearray(b"png")), ("Co A", "E", 2020, 1, (1.0, 2.0, 3.0, 4.0), bytearray(b"p2")), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "company string, document string, year int, page int, bbox struct<x0: double, y0: double, x1: double, y1: double>, image binary")
+    out = elements.save_figures(df, str(tmp_path / "img")).collect()
+    paths = [r.image_path for r in out if r.image_path]
+    assert len(set(paths)) == 2 and sorted(open(p, "rb").read() for p in paths) == [b"p2", b"png"] and sum(r.image_path is None for r in out) == 1

@@ -125,3 +125,17 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert {got[f"n{i:03d}"] for i in range(41)} == {"n000"} and got["y"] == got["x"] == "x" and "z" not in got
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_judge_and_history(spark, tmp_path):
+    def model(system, text):
+        if text == "fail":
+            raise RuntimeError
+        return {"a": '{"score": 1.5, "reason": "ok"}', "b": '{"score": "x"}'}.get(text, "no json")
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "fail"), (5, None)], "query_id bigint, text string")
+    assert [(r.score, r.reason) for r in A.judge(df, model).orderBy("query_id").collect()] == [(1.0, "ok"), (0.0, ""), (0.0, ""), (0.0, ""), (0.0, "")]
+    h = spark.createDataFrame([(1, "x", False)], "query_id bigint, answer string, abstained boolean")
+    A.append_history(h, str(tmp_path / "h"))
+    A.append_history(h, str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 2
