@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvane.functions.fixed import WS
 from tallyvane.llm import leaks, mixing, neardup, repeated, splitting, truncation
 from tallyvane.llm.sentences import sentence_units
 from tallyvane.session import table
@@ -128,5 +129,22 @@ FROM k JOIN c USING (company, key) JOIN n USING (company) WHERE c.n >= 4 AND c.n
 """
 
 
+P4_SQL = rf"""
+WITH n AS (SELECT chunk_id, trim(regexp_replace(lower(regexp_replace(content, '^[^\n]*(\n|$)', '')), '{WS}+', ' ', 'g')) AS t FROM chunks WHERE chunk_type = 'text' AND content IS NOT NULL),
+g AS (SELECT DISTINCT chunk_id, substr(t, k, 5) AS g FROM (SELECT chunk_id, t, unnest(range(1, length(t) - 3)) AS k FROM n)),
+c AS (SELECT chunk_id, count(*) AS size FROM g GROUP BY chunk_id),
+p AS (SELECT x.chunk_id AS a, y.chunk_id AS b, count(*) AS common FROM g x JOIN g y ON x.g = y.g AND x.chunk_id < y.chunk_id GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN c x ON x.chunk_id = a JOIN c y ON y.chunk_id = b WHERE common * 10 >= 7 * (x.size + y.size - common)
+"""
+
+P6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS s FROM benchmark_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, substr(s, k, 60) AS g FROM (SELECT doc_id, s, unnest(range(1, length(s) - 58)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, substr(s, k, 60) AS g FROM (SELECT item_id, s, unnest(range(1, length(s) - 58)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
