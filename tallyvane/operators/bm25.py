@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 
 from tallyvane.functions import fixed as X
 from tallyvane.functions.text import tokens
+from tallyvane.session import checkpoint, spread
 
 
 def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", order: str = "ord") -> dict[str, DataFrame]:
-    """postings(term, key, ord, tf, dl), idf(term, idf) and stats(n, avgdl), all derived lazily.
+    """postings(term, chunk_id, ord, dl, tf), idf(term, idf) and stats(n, avgdl).
 
-    A chunk without tokens counts in n and avgdl. Negative weights become epsilon times the mean weight of all
-    terms (negatives included).
+    The postings are written once (a checkpoint), as weights, lengths and search all read them and tokenising is the
+    costly part. A chunk without tokens counts in n and avgdl. Negative weights become epsilon times the mean weight
+    of all terms (negatives included).
     """
-    base = chunks.select(F.col(key).alias("chunk_id"), F.col(order).cast("bigint").alias("ord"), tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = base.select("chunk_id", "ord", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    texts = spread(chunks.select(F.col(key).alias("chunk_id"), F.col(order).cast("bigint").alias("ord"), F.col(text).alias("text")), "chunk_id")
+    base = texts.select("chunk_id", "ord", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    postings = checkpoint(base.select("chunk_id", "ord", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_tf"))
+    stats = chunks.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("n", (F.col("all_tf") / F.col("n")).alias("avgdl"))  # one row each
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n").cast("double")
     raw = df.join(F.broadcast(stats.select("n"))).select("term", (F.log(n - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))).alias("w"))  # one row
