@@ -62,6 +62,13 @@ Vendors of {N} parts replaced demand, which left service revenue clearly unchang
 More figures will follow in due course...
 Who pays?
 Nobody pays!
+Costs fell by {p}.
+Costs rose again.
+Sales rose by {p}.
+One.
+Two.
+Who left?
+The end.
 Growth at {N} reached {i} bps in fiscal {y}.
 Track maintained at {N} reached {d} mi in fiscal {y}.
 Gross margin at {N} stood at {p} in fiscal {y}, compared with ({p}) a year earlier.
@@ -76,6 +83,9 @@ GERMAN = """\
 Der Zinsaufwand lag bei {d} Mio. US-Dollar, d. h. rund {d} % unter dem Plan für {N}.
 Der Umsatz von {N} betrug {d} Tsd. US-Dollar.
 Der Umsatz von {N} betrug {d} Mrd. US-Dollar.
+Der Umsatz von {N} betrug {d} Mio. US-Dollar.
+Der Cashflow der Tochter {N} fiel auf {d} Mrd. US-Dollar.
+Wegen höherer Zölle fiel der Absatz von {N} auf {d} Tsd. US-Dollar.
 Im {i}. Quartal sank der Ausschussanteil der Tochter {N} auf {d} Tsd. US-Dollar.
 Im {i}. Quartal erholte sich der Personalaufwand im Exportgeschäft; der Rohertrag blieb bei {N} stabil.
 „Der Energieeinsatz bei {N} bleibt schwach. Wir prüfen {i} Verträge“, sagte die Finanzleitung.

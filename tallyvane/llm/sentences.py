@@ -264,7 +264,7 @@ def compose(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
 
 
 @lru_cache(maxsize=4)
-def train(texts: int = 2000, epochs: int = 3, seed: int = 11) -> dict[str, float]:
+def train(texts: int = 3000, epochs: int = 3, seed: int = 11) -> dict[str, float]:
     """Averaged perceptron over composed texts; deterministic for a seed."""
     r = random.Random(seed)
     data = []
