@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.session import checkpoint, spread
 
-ORDERS = (1, 2, 4, 6, 8, 12, 16, 24, 32)
+ORDERS = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32)
 MARK = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…|[a-z ]{0,12})\]|…|�+|<[a-zA-Z/]{0,8}|&[a-zA-Z#0-9]{0,6};?))+\s*$")
 _NAME = re.compile(r"[A-Z][a-z]{4,}(?: [A-Z][a-z]{2,3}(?= [A-Z][a-z]{4}))?")
 _CODE = re.compile(r"(?:[A-Z0-9]{2,}-)+[A-Z0-9]+")
@@ -40,6 +40,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _CODE_HINT = re.compile(r"-[A-Z0-9]{2,}")
 _INITIAL = re.compile(r"\b[A-Z]\. ")
 _ITEM = re.compile(r"(?m)^(?:[•*·–-]|0[.)]) .*$")
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -112,8 +113,11 @@ def _end_contexts(docs: DataFrame) -> DataFrame:
                 tails.append(t[-200:])
             yield pd.DataFrame({"d": pdf["d"], "l": pdf["l"], "marked": marked, "tail": tails, "h": hs})
 
-    # the last 320 characters: enough for the longest context and the list item or line it stands in
-    short = docs.select("d", "l", F.when(F.length("t") > 320, F.expr("right(rtrim(t), 320)")).otherwise(F.col("t")).alias("t")).where(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
+    # the last 800 characters and the rest of the line they begin in, with its line feed (list items are marked only
+    # in texts of several lines): enough for the longest context, a remnant and the whole list item they stand in
+    t, head = F.rtrim("t", F.lit(_BLANKS)), F.expr("left(t, length(t) - 800)")
+    line = F.concat(F.when(F.instr(head, "\n") > 0, "\n").otherwise(""), F.substring_index(head, "\n", -1))
+    short = docs.select("d", "l", t.alias("t")).select("d", "l", F.when(F.length("t") > 800, F.concat(line, F.expr("right(t, 800)"))).otherwise(F.col("t")).alias("t")).where(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
     return short.mapInPandas(run, "d bigint, l string, marked boolean, tail string, h array<bigint>")
 
 

@@ -229,3 +229,19 @@ def test_context_counts_against_brute_force(spark):
             for x in h.at(p, np.full(len(ks), pos), ks).view(np.int64).tolist():
                 want[x] += 1
     assert all(got.get(x.h, 0) == want[x.h] for x in keys.collect())
+
+
+def test_end_contexts_of_long_list_items(spark):
+    """Every order's context at the end of a text is that of the whole masked text, however long its last line."""
+    import numpy as np
+
+    words = " ".join(["revenue and margin"] * 120)
+    texts = ["Intro.\n- " + words[:n] for n in (100, 400, 790, 2000)] + [words, "One line.\n" + words + " \r\n" + "\n" * 900, "Short."]
+    df = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "d bigint, l string, t string")
+    got = {x.d: x.h for x in T._end_contexts(df).collect()}
+    assert T.ORDERS == (1, 2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32)
+    h = T.Hasher()
+    for i, t in enumerate(texts):
+        s = T.mask(t.rstrip())
+        ks = np.array([k for k in T.ORDERS if k <= len(s)])
+        assert got[i] == h.at(h.prefix(s), np.full(len(ks), len(s)), ks).view(np.int64).tolist()
