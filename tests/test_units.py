@@ -72,3 +72,32 @@ def test_unit_changes(spark):
     many = spark.createDataFrame([("s", i, 10.0 if i < 6000 else 1e7) for i in range(12000)], "source string, id bigint, value double")
     r = CP.unit_changes(many, "source", ["id"], "value").collect()
     assert sum(x.n_values for x in r) == 12000 and [x.unit_change for x in r if x.unit_change] == ["million"] and len({x.block_no for x in r}) == 3
+
+
+def test_blocks_do_not_change_the_segments(spark):
+    """A history of many blocks has the segments of one search over the whole of it."""
+    r = np.random.default_rng(5)
+    x = {"mixed": r.normal(4, 2, 1500), "flat": np.concatenate([r.normal(3, 0.1, 700), r.normal(5, 0.1, 300)]), "levels": np.concatenate([r.normal(m, 0.3, 20) for m in r.choice([0, 1, 3, 6], 60)])}
+    rows = [(k, i, float(10**v) if i % 7 else None) for k, xs in x.items() for i, v in enumerate(xs)]
+    got = CP.value_segments(spark.createDataFrame(rows, "source string, id bigint, value double"), "source", ["id"], "value", block=100).toPandas()
+    for k, xs in x.items():
+        ok = [i for i in range(len(xs)) if i % 7]
+        starts = [ok[a] for a in CP.segments(xs[ok], 2.0)]
+        g = got[got.source == k].sort_values("id")
+        assert g.block_no.nunique() == -(-len(xs) // 100)
+        assert (g.stretch_no.nunique() > 5) == (k != "flat")
+        key = list(zip(g.stretch_no, g.segment_no))
+        assert [0] + [i for i in range(1, len(xs)) if key[i] != key[i - 1]] == [0] + starts[1:]
+
+
+def test_sure_changes_hold_in_any_surroundings():
+    r = np.random.default_rng(6)
+    found = 0
+    for _ in range(40):
+        x = r.normal(0, r.choice([0.5, 1, 2]), 120)
+        sure = CP.sure_changes(x, 2.0)
+        found += bool(sure)
+        for _ in range(5):
+            left, right = r.normal(r.normal(0, 3), r.choice([0.1, 2]), r.integers(0, 60)), r.normal(r.normal(0, 3), r.choice([0.1, 2]), r.integers(0, 60))
+            assert {len(left) + c for c in sure} <= set(CP.segments(np.concatenate([left, x, right]), 2.0))
+    assert found > 10
