@@ -2,8 +2,8 @@
 
 The cost of a segment is the sum of squared deviations of log10 |value| from its mean; optimal partitioning with
 pruning (PELT) finds the segmentation of least cost plus `penalty` per changepoint exactly. A level shift that
-matches a known factor (a power of ten or a unit conversion) within `tolerance` marks a unit change: values of
-later segments are multiplied back to the unit of the first.
+matches a known factor (a power of ten or a unit conversion) within `tolerance` marks a unit change; with
+`converted_values`, values of later segments are multiplied back to the unit of the first.
 
 Histories longer than `block` values are cut into consecutive blocks so that a source with a third of all rows is
 still spread over tasks. In each block a changepoint is sought that belongs to an optimal segmentation whatever the
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyvane.session import checkpoint
+
 #: log10 of factors between units in which one quantity is commonly recorded (fixed values).
 FACTORS = {"thousand": 3.0, "million": 6.0, "billion": 9.0, "hundred": 2.0, "lb_kg": float(np.log10(0.45359237)), "short_ton_kg": float(np.log10(907.18474)), "sqft_m2": float(np.log10(0.09290304)), "acre_m2": float(np.log10(4046.8564224)), "gal_l": float(np.log10(3.785411784)), "barrel_l": float(np.log10(158.987294928)), "mile_km": float(np.log10(1.609344)), "gj_kwh": float(np.log10(2500 / 9))}
 
@@ -169,10 +171,28 @@ def unit_changes(df: DataFrame, source: str, order: list[str], value: str, penal
     """(source, block_no, segment_no, level, n_values, shift, unit_change): one row a segment, numbered over the whole
     history, or one for each block a segment runs over (all but the first with shift 0); unit_change names the known
     factor of the shift from the segment before, null if it matches none or there is none."""
-    s = value_segments(df, source, order, value, penalty).groupBy(source, "block_no", "stretch_no", "segment_no").agg(F.first("level").alias("level"), F.count(F.lit(1)).alias("n_values"))
-    w = W.partitionBy(source)
-    shift = F.col("level") - F.lag("level").over(w.orderBy("stretch_no", "segment_no", "block_no"))
-    near = F.array_min(F.array(*[F.struct(F.abs(F.abs(F.col("shift")) - abs(f)).alias("d"), F.lit(name).alias("name")) for name, f in FACTORS.items()]))
-    known = F.when(near["d"] <= tolerance, near["name"])
-    number = F.dense_rank().over(w.orderBy("stretch_no", "segment_no")).cast("bigint") - 1
-    return s.withColumn("shift", shift).withColumn("segment_no", number).drop("stretch_no").withColumn("unit_change", known)
+    s = _changes(value_segments(df, source, order, value, penalty), source, tolerance)
+    number = F.dense_rank().over(W.partitionBy(source).orderBy("stretch_no", "segment_no")).cast("bigint") - 1
+    return s.withColumn("segment_no", number).drop("stretch_no", "factor")
+
+
+def _changes(segmented: DataFrame, source: str, tolerance: float) -> DataFrame:
+    """One row a segment and block, with the shift from the one before, the name and signed log10 of its known factor."""
+    s = segmented.groupBy(source, "block_no", "stretch_no", "segment_no").agg(F.first("level").alias("level"), F.count(F.lit(1)).alias("n_values"))
+    shift = F.col("level") - F.lag("level").over(W.partitionBy(source).orderBy("stretch_no", "segment_no", "block_no"))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.abs(F.col("shift")) - abs(f)).alias("d"), F.lit(name).alias("name"), F.lit(abs(f)).alias("f")) for name, f in FACTORS.items()]))
+    known = near["d"] <= tolerance
+    return s.withColumn("shift", shift).withColumn("unit_change", F.when(known, near["name"])).withColumn("factor", F.when(known, F.signum("shift") * near["f"]))
+
+
+def converted_values(df: DataFrame, source: str, order: list[str], value: str, penalty: float = 2.0, tolerance: float = 0.15) -> DataFrame:
+    """Adds converted: the value in the unit of its source's first segment, all marked unit changes up to its own
+    segment reversed; null and zero values stay what they are."""
+    s = checkpoint(value_segments(df, source, order, value, penalty))
+    total = F.sum(F.coalesce("factor", F.lit(0.0))).over(W.partitionBy(source).orderBy("stretch_no", "segment_no", "block_no").rowsBetween(W.unboundedPreceding, 0))
+    keys = [source, "stretch_no", "segment_no", "block_no"]
+    f = _changes(s, source, tolerance).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keys)], total.alias("__f"))
+    on = F.col(source).eqNullSafe(F.col("__0"))
+    for i, c in enumerate(keys[1:], 1):
+        on = on & (F.col(c) == F.col(f"__{i}"))
+    return s.join(f, on).withColumn("converted", F.col(value) * F.pow(F.lit(10.0), -F.col("__f"))).select(*df.columns, "converted")

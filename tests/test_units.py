@@ -101,3 +101,15 @@ def test_sure_changes_hold_in_any_surroundings():
             left, right = r.normal(r.normal(0, 3), r.choice([0.1, 2]), r.integers(0, 60)), r.normal(r.normal(0, 3), r.choice([0.1, 2]), r.integers(0, 60))
             assert {len(left) + c for c in sure} <= set(CP.segments(np.concatenate([left, x, right]), 2.0))
     assert found > 10
+
+
+def test_converted_values(spark):
+    """Values behind marked changes are brought back to the unit of the first segment."""
+    rows = [("s", i, float(v)) for i, v in enumerate([5] * 6 + [5000] * 6 + [5e6 * 0.45359237] * 6 + [5] * 6)] + [("s", 50, None), ("s", 51, 0.0), (None, 1, 3.0), ("n", 1, -7.0)]
+    rows += [("t", i, 8.0) for i in range(6)] + [("t", i, 8e-6) for i in range(6, 12)] + [("t", i, 8.0) for i in range(12, 18)]
+    r = CP.converted_values(spark.createDataFrame(rows, "source string, id bigint, value double"), "source", ["id"], "value").collect()
+    got = {(x.source, x.id): x.converted for x in r}
+    assert len(r) == len(rows) and got["s", 50] is None and got["s", 51] == 0 and got[None, 1] == 3 and got["n", 1] == -7
+    # 3 + (3 - 0.34, no known factor) - 5.66 (no known factor): only the first change is reversed
+    assert [got["s", i] for i in (0, 6, 12, 18)] == pytest.approx([5, 5, 5e3 * 0.45359237, 5e-3])
+    assert all(got["t", i] == pytest.approx(8) for i in range(18))
