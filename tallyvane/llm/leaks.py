@@ -3,7 +3,7 @@
 Items are cut into seeds (runs of letters and digits, lower-cased); a document is probed at a stride at which no
 shared run of the stated length can hide: a run of `run` characters contains a whole document seed that starts
 at a multiple of run - seed + 1. A seed in very many items says little, so hits are weighed by the seed's rarity
-for reporting, but none is dropped. Each hit pair is aligned by Smith-Waterman over the window of the document
+for reporting, but none is dropped. Each hit pair is aligned by Smith-Waterman over all windows of the document
 around its hits, which scores edited and paraphrased copies; `leaks_found` then keeps the pairs whose longest
 common run has the stated length (an exact check).
 
@@ -65,11 +65,30 @@ def longest_run(a: str, b: str, anchors: list[tuple[int, int]], k: int) -> int:
     return best
 
 
+def best_score(s: str, t: str, anchors: list[tuple[int, int]]) -> int:
+    """The best local alignment of item t in document s around the anchors (i in s, j in t).
+
+    An alignment of positive score has fewer gaps than t has characters, so all that pass through an anchor lie
+    within len(t) of its diagonal; the parts of s that this covers are joined where they overlap and aligned whole.
+    """
+    best, n = 0, len(t)
+    parts: list[list[int]] = []
+    for x in sorted({i - j for i, j in anchors}):
+        lo, hi = max(0, x - n), min(len(s), x + 2 * n)
+        if parts and lo <= parts[-1][1]:
+            parts[-1][1] = hi
+        else:
+            parts.append([lo, hi])
+    for lo, hi in parts:
+        best = max(best, smith_waterman(t, s[lo:hi]))
+    return best
+
+
 def leak_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", run: int = 60, seed: int = 24, max_seeds: int = 2_000_000) -> DataFrame:
     """(doc, item, hits, rarity, run, score): every pair that shares a probed seed.
 
-    run is the longest common run through the hits, score the Smith-Waterman score (2 a match) of the item and
-    the document window around the hits, rarity the sum over hits of 1 / items that hold the seed.
+    run is the longest common run through the hits, score the best Smith-Waterman score (2 a match) of the item and
+    the document windows around the hits, rarity the sum over hits of 1 / items that hold the seed.
     """
     spark = docs.sparkSession
     stride = run - seed + 1
@@ -86,9 +105,8 @@ def leak_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
         out = []
         for i, at in hits.items():
             t = texts[i]
-            lo, hi = max(0, min(p - q for p, q in at) - 20), max(p - q for p, q in at) + len(t) + 20
             r = longest_run(s, t, at, seed)
-            out.append((d, i, len(at), rare[i], r, smith_waterman(t, s[lo : min(hi, lo + 3 * len(t) + 40)])))
+            out.append((d, i, len(at), rare[i], r, best_score(s, t, at)))
         return out
 
     schema = "d bigint, i bigint, hits bigint, rarity double, run bigint, score bigint"
@@ -124,7 +142,8 @@ def leak_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
         pairs = a.join(b, "g").select("d", "i", "p", "q", "n_items")
         # first per diagonal, then per pair: one anchor a diagonal is enough for the runs through it
         diag = pairs.groupBy("d", "i", (F.col("p") - F.col("q")).alias("x"), F.floor(F.col("p") / 600).alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("n_items")).alias("r"), F.collect_set(F.struct("p", "q")).alias("at"))
-        full = diag.join(source, "d").join(rows.select("i", F.col("t").alias("u")), "i")
+        pair = diag.groupBy("d", "i").agg(F.sum("n").alias("n"), F.sum("r").alias("r"), F.flatten(F.collect_list("at")).alias("at"))
+        full = pair.join(source, "d").join(rows.select("i", F.col("t").alias("u")), "i")
 
         def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -132,8 +151,7 @@ def leak_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
                 for r in pdf.itertuples(index=False):
                     s, t = squeeze(r.t), squeeze(r.u)
                     at = [(x["p"], x["q"]) for x in r.at]
-                    lo = max(0, min(p - q for p, q in at) - 20)
-                    out.append((r.d, r.i, r.n, r.r, longest_run(s, t, at, seed), smith_waterman(t, s[lo : lo + len(t) + 40])))
+                    out.append((r.d, r.i, r.n, r.r, longest_run(s, t, at, seed), best_score(s, t, at)))
                 yield pd.DataFrame(out, columns=names)
 
         found = full.mapInPandas(align, schema).groupBy("d", "i").agg(F.sum("hits").alias("hits"), F.sum("rarity").alias("rarity"), F.max("run").alias("run"), F.max("score").alias("score"))

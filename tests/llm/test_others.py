@@ -245,3 +245,15 @@ def test_end_contexts_of_long_list_items(spark):
         s = T.mask(t.rstrip())
         ks = np.array([k for k in T.ORDERS if k <= len(s)])
         assert got[i] == h.at(h.prefix(s), np.full(len(ks), len(s)), ks).view(np.int64).tolist()
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 10])
+def test_scores_cover_all_windows(spark, bound):
+    """A full or edited copy behind an early short quotation is scored whole, whatever the number of seeds."""
+    r = random.Random(8)
+    item = "".join(r.choice("abcdefgh") for _ in range(300))
+    junk = "".join(r.choice("xyz") for _ in range(5000))
+    docs = [(1, item[100:170] + junk + item + junk), (2, item[:130] + "xyz" * 15 + item[130:]), (3, junk + item[:150] + junk + item[150:])]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {x.doc_id: x.score for x in L.leak_pairs(d, i, max_seeds=bound).collect()}
+    assert got == {k: L.smith_waterman(item, s) for k, s in docs} and got[1] == 600 and got[2] == 510
