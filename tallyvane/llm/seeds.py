@@ -68,6 +68,14 @@ Stop!
 Yes.
 No.
 Four.
+Ten.
+Run.
+Six won.
+She ran.
+All gone.
+Cats do.
+Fire.
+Never again.
 The end.
 The well at {N} holds {d} litres, and the cistern {d}.
 Readings of {d} and {d} were taken at the two masts (both in hPa).
