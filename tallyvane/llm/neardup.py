@@ -1,21 +1,30 @@
-"""Near-duplicate texts: BagMinHash signatures, banding, a bit-sketch filter, exact multiset overlap.
+"""Near-duplicate texts: BagMinHash signatures, banding, a sketch filter, exact overlap.
 
-A text is the weighted set of its shingles. Each shingle owns a Poisson process on (time, weight, component):
+A text is the weighted set (bag) of its shingles. Each shingle owns a Poisson process on (time, weight, component):
 the weight axis is cut into octaves [0,1), [1,2), [2,4), ..., each an independent process of rate equal to its
-width, and within the last octave a point's weight coordinate is fixed by successive halvings, so that two texts
-see the same points wherever their weights overlap. The earliest point of each of `m` components is the
-signature; two signatures agree in a component with probability equal to the weighted Jaccard similarity.
-Points are generated in order of time and a shingle stops at the latest register, so a text costs about
-n + m log m points, not n * m.
+width; in the last octave, which a weight fills in part, a point carries its own place in the octave and counts where
+it lies below the weight. So two texts see the same points wherever their weights overlap. The earliest point of each
+of `m` components is the signature; two signatures agree in a component with probability equal to the weighted
+Jaccard similarity. Points are generated in order of time and a shingle stops at the latest register, so a text costs
+about n + m log m points, not n * m. Where similarity counts distinct shingles (`weighted=False`) all weights are one
+and only the first octave is used.
+
+Buckets of two need no join: their pair is the least and greatest member, known from the count. The members of larger
+buckets are dealt to blocks of `block` members, and each pair of blocks meets under a key of its own, so a bucket that
+holds a third of all texts is spread over many tasks. Each pair is looked at once, however many bands it shares;
+texts travel only with the pairs that the sketches leave.
 
 Defined results: null texts and texts shorter than one shingle are similar to nothing; exact copies (after
-normalisation) form one class whose representative alone is compared; ties do not arise (pairs are unordered,
-the smaller id first); an empty table gives no pairs.
+normalisation, by a hash of 128 bits) form one class whose representative alone is compared; ids are told apart by a
+hash of 64 bits; ties do not arise (pairs
+are unordered, the smaller id first); an empty table gives no pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.operators.components import connected_components
-from tallyvane.session import checkpoint, spread
+from tallyvane.session import checkpoint
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: White space besides the plain space, as Unicode has it.
+_BLANK = r"\t\n\x0B\f\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,8 +106,10 @@ def bag_minhash(hashes: list[np.ndarray], m: int, weights: list[np.ndarray] | No
 
 
 def normal_body(text: Column) -> Column:
-    """Without the header line, lower case, white space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"^[^\n]*(\n|$)", "")), r"(?U)\s+", " "))
+    """Without the header line, lower case, white space runs as one space, trimmed. Only runs that are not one plain
+    space already are rewritten."""
+    body = F.when(F.instr(text, "\n") > 0, F.substr(text, F.instr(text, "\n") + 1)).when(text.isNotNull(), "")
+    return F.trim(F.regexp_replace(F.lower(body), rf"(?:[{_BLANK}]| (?=[ {_BLANK}]))[ {_BLANK}]*", " "))
 
 
 def overlap(a: np.ndarray, b: np.ndarray, wa: np.ndarray | None = None, wb: np.ndarray | None = None) -> float:
@@ -110,23 +123,37 @@ def overlap(a: np.ndarray, b: np.ndarray, wa: np.ndarray | None = None, wb: np.n
     return float(common / (wa.sum() + wb.sum() - common))
 
 
-def similar_classes(texts: DataFrame, threshold: float = 0.7, shingle: int = 5, unit: str = "char", weighted: bool = False, bands: int = 40, rows: int = 5, slack: int = 16) -> tuple[DataFrame, DataFrame]:
-    """texts(id string, t string) -> (classes(id, class_id), links(a, b, similarity) between class representatives).
+def candidate_pairs(banded: DataFrame, block: int = 1000) -> DataFrame:
+    """(a, b), a < b, once each: the pairs of members r that share a key k of banded(k, r)."""
+    sizes = checkpoint(banded.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).where("n > 1"))
+    large = sizes.where("n > 2").select("k", F.ceil(F.col("n") / block).cast("int").alias("g"))
+    rows = banded.join(large, "k").withColumn("i", F.pmod(F.xxhash64("r"), F.col("g")).cast("int"))
+    cells = rows.select("k", "r", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j")).select("k", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "r", "i")
+    x, y = cells.select("k", "p", "q", F.col("r").alias("a"), F.col("i").alias("ia")), cells.select("k", "p", "q", F.col("r").alias("b"), F.col("i").alias("ib"))
+    met = x.join(y, ["k", "p", "q"]).where("a < b and (p = q or ia <> ib)").select("a", "b")
+    return sizes.where("n = 2 and a < b").select("a", "b").union(met).distinct()
 
-    The sketch keeps a candidate if its 128 one-bit components agree in at least those expected at the threshold
-    less `slack` (4 standard deviations at 0.7). With 40 bands of 5, a pair at 0.7 is missed with probability
-    0.0006, one at 0.75 with 0.00002.
+
+def similar_classes(texts: DataFrame, threshold: float = 0.7, shingle: int = 5, unit: str = "char", weighted: bool = False, bands: int = 32, rows: int = 4, deviations: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """texts(id string, t string) -> (members(id, c bigint, first, long), links(a, b, similarity) between classes c);
+    `first` marks the member whose text stands for its class, `long` texts of at least one shingle.
+
+    The sketch keeps four bits of each of 128 components, in bit planes; a candidate stays if as many components agree
+    as are expected at the threshold, less `deviations` standard deviations. With 32 bands of 4, a pair at 0.7 is missed with probability
+    0.00015, one at 0.8 with 0.00000005.
     """
     m = bands * rows
-    least = round(128 * (1 + threshold) / 2) - slack
+    if m < 128:
+        raise ValueError("the sketch takes 128 components")
+    agree = threshold + (1 - threshold) / 16
+    least = math.floor(128 * agree - deviations * math.sqrt(128 * agree * (1 - agree)))
     cut = char_shingles if unit == "char" else word_shingles
-    keyed = texts.where(F.col("t").isNotNull()).select("id", "t", F.xxhash64("t").alias("h1"), F.md5("t").alias("h2"))
-    # one text a class, written once: it is read by the signatures and by both sides of the verification
-    reps = checkpoint(keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "t")).alias("m")).select("h1", "h2", F.col("m.id").alias("class_id"), F.col("m.t").alias("t")))
-    classes = keyed.select("id", "h1", "h2").join(reps.select("h1", "h2", "class_id"), ["h1", "h2"]).select("id", "class_id")
-    firsts = reps.select(F.xxhash64("class_id").alias("r"), F.col("class_id").alias("id"), "t")
-    if unit == "char":
-        firsts = firsts.where(F.length("t") >= shingle)
+    enough = F.length("t") >= shingle if unit == "char" else F.length(F.trim("t")) > 0
+    # normalised once, read by classes, signatures and verification
+    base = checkpoint(texts.where(F.col("t").isNotNull()).select("id", "t", F.xxhash64("id").alias("r"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), F.col("t")).alias("h2"), enough.alias("long")))
+    classes = base.groupBy("h1", "h2").agg(F.min("r").alias("c"))
+    members = checkpoint(base.select("id", "r", "long", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "c", (F.col("r") == F.col("c")).alias("first"), "long").distinct())
+    firsts = base.where("long").join(members.where("first and long").select(F.col("c").alias("r")), "r", "left_semi").select("r", "t")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -135,70 +162,69 @@ def similar_classes(texts: DataFrame, threshold: float = 0.7, shingle: int = 5,
                 part = pdf.iloc[at : at + 64]
                 pairs = [np.unique(cut(t, shingle), return_counts=True) for t in part["t"]]
                 keep = [i for i, p in enumerate(pairs) if len(p[0])]
-                sig = bag_minhash([pairs[i][0] for i in keep], m, [pairs[i][1] for i in keep] if weighted else None)
-                if not len(keep):
+                if not keep:
                     continue
-                ids = part["r"].to_numpy()[keep]
-                bits = np.packbits((mix(sig[:, :128]) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
+                sig = bag_minhash([pairs[i][0] for i in keep], m, [pairs[i][1] for i in keep] if weighted else None)
+                nibbles = mix(sig[:, :128])
+                planes = np.concatenate([np.packbits((nibbles >> np.uint64(i) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8") for i in range(4)], axis=1)
                 folded = sig.reshape(len(keep), bands, rows)
                 key = np.broadcast_to(seeds, (len(keep), bands)).copy()
                 for j in range(rows):
                     key = mix(key * _GOLD + folded[:, :, j])
-                yield pd.DataFrame({"k": key.view(np.int64).ravel(), "r": np.repeat(ids, bands), "s1": np.repeat(bits[:, 0], bands), "s2": np.repeat(bits[:, 1], bands)})
-
-    banded = checkpoint(spread(firsts.select("r", "t")).mapInPandas(sign, "k bigint, r bigint, s1 bigint, s2 bigint"))
-    # only buckets with company are joined; their skew is left to the adaptive skew join
-    shared = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    b = banded.join(shared, "k", "left_semi")
-    x, y = b.select("k", F.col("r").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2")), b.select("k", F.col("r").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    near = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    cand = x.join(y, "k").where((F.col("a") < F.col("b")) & (near <= 128 - least)).select("a", "b").distinct()
-    left = firsts.select(F.col("r").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"))
-    right = firsts.select(F.col("r").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"))
-    pairs = cand.join(left, "a").join(right, "b").select("ia", "ib", "ta", "tb")
+                yield pd.DataFrame({"r": part["r"].to_numpy()[keep], "s": list(planes), "ks": list(key.view(np.int64))})
+
+    signed = checkpoint(firsts.mapInPandas(sign, "r bigint, s array<bigint>, ks array<bigint>"))
+    cand = candidate_pairs(signed.select(F.explode("ks").alias("k"), "r"))
+    x, y = signed.select(F.col("r").alias("a"), F.col("s").alias("sa")), signed.select(F.col("r").alias("b"), F.col("s").alias("sb"))
+    differ = lambda h: reduce(lambda u, v: u.bitwiseOR(v), [F.get("sa", F.lit(2 * i + h)).bitwiseXOR(F.get("sb", F.lit(2 * i + h))) for i in range(4)])
+    near = F.bit_count(differ(0)) + F.bit_count(differ(1))
+    cand = checkpoint(cand.join(x, "a").join(y, "b").where(near <= 128 - least).select("a", "b"))
+    used = cand.select(F.col("a").alias("r")).union(cand.select("b")).distinct()
+    some = firsts.join(used, "r", "left_semi")
+    pairs = cand.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made: dict[str, tuple] = {}
+            made: dict[int, tuple] = {}
 
-            def of(i: str, t: str) -> tuple:
-                if i not in made:
-                    made[i] = np.unique(cut(t, shingle), return_counts=True)
-                return made[i]
+            def of(r: int, t: str) -> tuple:
+                if r not in made:
+                    made[r] = np.unique(cut(t, shingle), return_counts=True)
+                return made[r]
 
             sims = []
-            for ia, ib, ta, tb in pdf.itertuples(index=False):
-                (p, wp), (q, wq) = of(ia, ta), of(ib, tb)
+            for a, b, ta, tb in pdf.itertuples(index=False):
+                (p, wp), (q, wq) = of(a, ta), of(b, tb)
                 sims.append(overlap(p, q, wp, wq) if weighted else overlap(p, q))
-            out = pd.DataFrame({"a": pdf["ia"], "b": pdf["ib"], "similarity": np.array(sims, dtype=float)})
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": np.array(sims, dtype=float)})
             yield out[out["similarity"] >= threshold]
 
-    return classes, pairs.mapInPandas(verify, "a string, b string, similarity double")
+    return members, pairs.mapInPandas(verify, "a bigint, b bigint, similarity double")
 
 
 def similar_pairs(texts: DataFrame, **how) -> DataFrame:
-    """All pairs (a, b), a < b, of texts(id, t) at least the threshold alike, copies within a class included."""
-    classes, links = similar_classes(texts, **how)
-    least = how.get("shingle", 5) if how.get("unit", "char") == "char" else 1
-    c = checkpoint(classes)
-    ca, cb = c.select(F.col("class_id").alias("a"), F.col("id").alias("x")), c.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(ca, "a").join(cb, "b").select("x", "y")
-    long_enough = texts.where(F.length("t") >= least).select(F.col("id").alias("x"))
-    several = c.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    m = c.join(several, "class_id", "left_semi")
-    within = m.select("class_id", F.col("id").alias("x")).join(m.select("class_id", F.col("id").alias("y")), "class_id").where("x < y").select("x", "y").join(long_enough, "x", "left_semi")
-    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
+    """All pairs (a, b), a < b, of texts(id, t) at least the threshold alike, copies within a class included.
+
+    The result grows with the square of a class of copies; `similar_groups` is the form for a large corpus.
+    """
+    members, links = similar_classes(texts, **how)
+    ids = members.select("c", "id")
+    across = links.select("a", "b").join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y")
+    several = members.where("long").groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
+    m = ids.join(several, "c", "left_semi")
+    within = m.select("c", F.col("id").alias("x")).join(m.select("c", F.col("id").alias("y")), "c").where("x < y").select("x", "y")
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within.toDF("a", "b")).distinct()
 
 
 def similar_groups(texts: DataFrame, **how) -> DataFrame:
-    """One row per text: id, class_id (its exact copies), group_id (the connected group of its class; the class
-    itself if it has no link) and n_links (links of its class to other classes)."""
-    classes, links = similar_classes(texts, **how)
+    """One row per text: id, class_id (the least id of its exact copies), group_id (the least class of its connected
+    group; the class itself if it has no link) and n_links (links of its class to other classes)."""
+    members, links = similar_classes(texts, **how)
     links = checkpoint(links)
     comp = connected_components(links.select("a", "b"))
-    degree = links.select(F.col("a").alias("class_id")).union(links.select("b")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    return (
-        classes.join(comp.select(F.col("node").alias("class_id"), F.col("component").alias("group_id")), "class_id", "left")
-        .join(degree, "class_id", "left")
-        .select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    )
+    degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
+    names = members.groupBy("c").agg(F.min("id").alias("class_id"))
+    named = names.join(comp.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").join(degree, "c", "left")
+    groups = named.where("g is not null").groupBy("g").agg(F.min("class_id").alias("group_id"))
+    named = named.join(groups, "g", "left")
+    return members.select("id", "c").join(named, "c").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
