@@ -46,6 +46,26 @@ def test_pieces(spark):
     assert S.split_found(chunks.limit(0), els.limit(0), lim).count() == 0
 
 
+def test_cuts_only_where_there_is_no_boundary(spark):
+    """No hard cut and no broken sentence where a boundary lies within the reach of a cut; a text of many ranges is cut
+    as one of a single range is."""
+    r = random.Random(8)
+    text = "".join(r.choice(["Word and more. ", "two, ", "line\n", "x" * r.randint(1, 90), " ", "y" * 260]) for _ in range(9000))
+    size, most, overlap = len(text), 200, 30
+    found = S.boundaries(text, False)
+    df = spark.createDataFrame([("chunk", "big", "text", size, most, overlap, text, None)], "record_kind string, record_id string, item_type string, size bigint, max_chars int, overlap_chars int, t string, g array<array<string>>")
+    cuts = [p.end_char for p in sorted(S.pieces(df).collect(), key=lambda p: p.piece_no)]
+    assert size > 3 * S.RANGE and cuts[-1] == size
+    for a, b in zip([0] + cuts, cuts[:-1]):
+        near = [p for p in found if a + (overlap if a == 0 else 0) < p <= a + (most if a == 0 else most - overlap)]
+        assert b in found or not near
+        assert found.get(b, 0) >= S.STRONG or not any(found[p] >= S.STRONG for p in near if p > a + max((most if a == 0 else most - overlap) // 8, overlap if a == 0 else 0))
+    step = S.plan(most, overlap)[1]
+    at = dict(found) | {p: found.get(p, 0) for p in range(step, size, step)}
+    places = sorted(p for p in at if 0 < p < size)
+    assert S.range_table(places, [at[p] for p in places], 0, size, size, most, overlap)[1][0] == cuts
+
+
 def test_split_file(spark, tmp_path):
     r = random.Random(2)
     t = "".join(r.choice(["word ", "日本語。", "é" * 9 + "\n", "emoji 😀 ", "\n\n", "z" * 300]) for _ in range(3000))
