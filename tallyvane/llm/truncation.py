@@ -4,16 +4,20 @@ For the last 1, 2, 3, 4, 6, ... characters of a value the model knows how often,
 ended there and how often it went on. Starting from the shortest context, the end probability is replaced by a
 longer context's whenever that differs significantly (Poisson bound), so that " approx." or a sentence inside an
 open quotation is told from a sentence that ends. The log-odds of ending are thresholded per language, at the
-emptiest stretch of their histogram. Endings are counted once for each distinct tail, so republished texts lend
-each other no support, and a value's own ending is left out of its judgement.
+emptiest stretch of their histogram; each language's histogram is blended with that of all languages by a fixed
+weight, so the rule of a language follows its own texts the more of them there are. Endings are counted once for each
+distinct tail, so republished texts lend each other no support, and a value's own ending is left out of its judgement.
 
 Names, numbers and initials are masked before counting, and list items have their spaces marked, as a list item
-ends without a full stop. A remnant that only a cut leaves (an ellipsis character, a bracketed ellipsis, half a
-character, tag or entity) is itself evidence that the text goes on; such endings are not counted as ends.
+ends without a full stop. A remnant that a cut may leave (an ellipsis character, a bracketed ellipsis, half a
+character, tag or entity) is a feature, not a verdict: the model judges the text before it, and the remnant's
+likelihood ratio between texts that go on and texts that end, as found in the corpus, is added to the log-odds, up to
+`most_shift`. Endings with a remnant are not counted as ends.
 
 Contexts are counted at all positions of all texts: a fixed-size bit filter of the contexts in which some text
 ends keeps out the others (false positives cost rows, not correctness), counts are pre-aggregated per batch, and
-as contexts nest, longer ones are looked at only where the shorter one passed.
+as contexts nest, longer ones are looked at only where the shorter one passed. Contexts of few characters belong to
+most texts; their counts are joined under as many salts as the session has shuffle partitions.
 
 Defined results: null, empty and blank texts are no case; ties and copies get the same verdict; unknown languages
 share one threshold.
@@ -33,7 +37,10 @@ from pyspark.sql import functions as F
 from tallyvane.session import checkpoint, spread
 
 ORDERS = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32)
-MARK = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…|[a-z ]{0,12})\]|…|�+|<[a-zA-Z/]{0,8}|&[a-zA-Z#0-9]{0,6};?))+\s*$")
+#: Remnants at the end of a text: bracketed ellipsis or word, ellipsis, half a character, half a tag, half an entity.
+_ENTITY = "|".join(sorted({"&" + e[:i] for e in ("amp", "lt", "gt", "quot", "apos", "nbsp", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "euro", "copy") for i in range(1, len(e) + 1)}, key=len, reverse=True))
+MARK = re.compile(rf"(?:\s*(?:(?P<b>\[(?:\.\.\.|…|[a-z ]{{0,12}})\])|(?P<e>…)|(?P<c>�+)|(?P<t><[a-zA-Z/]{{0,8}})|(?P<n>(?:{_ENTITY}|&#x?[0-9a-fA-F]{{0,6}});?)))+\s*$")
+KINDS = ("", "b", "e", "c", "t", "n")
 _NAME = re.compile(r"[A-Z][a-z]{4,}(?: [A-Z][a-z]{2,3}(?= [A-Z][a-z]{4}))?")
 _CODE = re.compile(r"(?:[A-Z0-9]{2,}-)+[A-Z0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -95,12 +102,15 @@ class Hasher:
 
 
 def _end_contexts(docs: DataFrame) -> DataFrame:
-    """(d, marked, tail, h): for each text whether a remnant ends it, its raw tail and its contexts' hashes."""
+    """(d, l, n, kind, tail, h): of each text its length, its remnant (0 for none), a hash of its raw tail and its
+    contexts' hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         hasher, orders = Hasher(), np.array(ORDERS)
         for pdf in batches:
-            marked, tails, hs = [], [], []
+            kinds, tails, hs = [], [], []
             for t in pdf["t"]:
                 t = t.rstrip()
                 m = MARK.search(t)
@@ -109,16 +119,17 @@ def _end_contexts(docs: DataFrame) -> DataFrame:
                 n = len(s)
                 ks = orders[: np.searchsorted(orders, n, side="right")]
                 hs.append(hasher.at(p, np.full(len(ks), n), ks).view(np.int64).tolist())
-                marked.append(m is not None)
-                tails.append(t[-200:])
-            yield pd.DataFrame({"d": pdf["d"], "l": pdf["l"], "marked": marked, "tail": tails, "h": hs})
+                kinds.append(KINDS.index(m.lastgroup) if m else 0)
+                tails.append(xxhash.xxh64_intdigest(t[-200:].encode("utf-8", "surrogatepass")))
+            yield pd.DataFrame({"d": pdf["d"], "l": pdf["l"], "n": pdf["n"], "kind": np.array(kinds, np.int32), "tail": np.array(tails, np.uint64).view(np.int64), "h": hs})
 
     # the last 800 characters and the rest of the line they begin in, with its line feed (list items are marked only
-    # in texts of several lines): enough for the longest context, a remnant and the whole list item they stand in
+    # in texts of several lines): enough for the longest context, a remnant and the whole list item they stand in;
+    # only these travel to the cores
     t, head = F.rtrim("t", F.lit(_BLANKS)), F.expr("left(t, length(t) - 800)")
     line = F.concat(F.when(F.instr(head, "\n") > 0, "\n").otherwise(""), F.substring_index(head, "\n", -1))
-    short = docs.select("d", "l", t.alias("t")).select("d", "l", F.when(F.length("t") > 800, F.concat(line, F.expr("right(t, 800)"))).otherwise(F.col("t")).alias("t")).where(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
-    return short.mapInPandas(run, "d bigint, l string, marked boolean, tail string, h array<bigint>")
+    short = docs.select("d", "l", F.length("t").alias("n"), t.alias("t")).select("d", "l", "n", F.when(F.length("t") > 800, F.concat(line, F.expr("right(t, 800)"))).otherwise(F.col("t")).alias("t")).where(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
+    return spread(short).mapInPandas(run, "d bigint, l string, n bigint, kind int, tail bigint, h array<bigint>")
 
 
 def _continuations(docs: DataFrame, keys: DataFrame, per_key: int = 16, most_bits: int = 1 << 27) -> DataFrame:
@@ -195,7 +206,7 @@ def _continuations(docs: DataFrame, keys: DataFrame, per_key: int = 16, most_bit
     return docs.select("t").mapInPandas(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n_on"))
 
 
-def _end_log(stats: Column, marked: Column, base: float) -> Column:
+def _end_log(stats: Column, marked: Column, base: Column) -> Column:
     """log10 of the end probability from the contexts' (n_end, n_on), shortest first."""
 
     def step(p: Column, s: Column) -> Column:
@@ -207,7 +218,7 @@ def _end_log(stats: Column, marked: Column, base: float) -> Column:
         more = (ne > mu) & (ne >= 3) & (far > math.log(1e4))
         return F.when(less | more, F.greatest(ne, F.lit(0.1)) / (n + 0.2)).otherwise(p)
 
-    return F.log10(F.aggregate(stats, F.lit(base), step))
+    return F.log10(F.aggregate(stats, base, step))
 
 
 def language(lang: Column) -> Column:
@@ -216,20 +227,22 @@ def language(lang: Column) -> Column:
     return F.when(two == "", "und").when(two == "eng", "en").when(two == "jp", "ja").otherwise(two)
 
 
-def thresholds(scores: DataFrame, lo: float = -3.2, hi: float = -1.9, least: int = 200) -> dict[str, float]:
-    """Per language the middle of the emptiest 0.3-wide stretch of its log-odds histogram between lo and hi; all
-    languages' together for one with fewer than `least` texts. Collects languages x bins only."""
-    rows = scores.where(~F.col("marked")).groupBy("l", F.floor(F.col("log_end") * 10).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    by: dict[str, dict[int, int]] = {}
+def thresholds(scores: DataFrame, prior: float = 200.0) -> dict[str, float]:
+    """Per language the middle of the emptiest 0.3-wide stretch of its log-odds histogram between the two modes of the
+    histogram of all languages; to each language's histogram that of all languages is added, scaled to `prior` texts.
+    Collects languages x bins only."""
+    rows = scores.where("kind = 0").groupBy("l", F.floor(F.col("log_end") * 10).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    by: dict[str, dict[int, float]] = {"": {}}
     for r in rows:
         for key in (r.l, ""):
             h = by.setdefault(key, {})
             h[r.b] = h.get(r.b, 0) + r.n
+    lo, hi = _valley(by[""])
+    total = max(sum(by[""].values()), 1)
     out = {}
     for key, h in by.items():
-        h = h if sum(h.values()) >= least else by[""]
-        bins = range(round(lo * 10), round(hi * 10) - 2)
-        weight = {b: sum(h.get(b + j, 0) for j in range(3)) for b in bins}
+        bins = range(lo, max(hi - 2, lo + 1))
+        weight = {b: sum(h.get(b + j, 0) + prior * by[""].get(b + j, 0) / total for j in range(3)) for b in bins}
         fewest = min(weight.values())
         # of equally empty stretches the one in the middle
         empty = [b for b in bins if weight[b] == fewest]
@@ -237,29 +250,57 @@ def thresholds(scores: DataFrame, lo: float = -3.2, hi: float = -1.9, least: int
     return out
 
 
-def end_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, l, marked, log_end) of every non-blank text."""
-    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("d"), language(F.col(lang)).alias("l"), F.col(text).alias("t")))
-    ends = checkpoint(_end_contexts(rows))
-    total = ends.count()
-    tails = ends.where(~F.col("marked")).groupBy("tail").agg(F.first("h").alias("h"))
-    n_end = tails.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_end"))
-    keys = ends.select(F.explode("h").alias("h")).distinct()
-    on = _continuations(rows, keys)
+def _valley(h: dict[int, float]) -> tuple[int, int]:
+    """The bins (tenths of log10) between the two groups of a histogram: from the mean of what lies below the cut that
+    divides it with the least variance inside (Otsu's) to the mean of what lies above."""
+    bins = sorted(h)
+    if len(bins) < 2:
+        return -30, -20
+    n, s = np.array([h[b] for b in bins], float), np.array([h[b] * b for b in bins], float)
+    below, sums = np.cumsum(n)[:-1], np.cumsum(s)[:-1]
+    above, rest = n.sum() - below, s.sum() - sums
+    i = int(np.argmax(below * above * (sums / below - rest / above) ** 2))
+    return math.floor(sums[i] / below[i]), math.ceil(rest[i] / above[i])
+
+
+def end_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", hot_orders: int = 4) -> DataFrame:
+    """(key, l, kind, log_end) of every non-blank text."""
+    raw = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("d"), language(F.col(lang)).alias("l"), F.col(text).alias("t"))
+    ends = checkpoint(_end_contexts(raw))
+    base = ends.agg(F.least(F.lit(1.0), F.count(F.lit(1)) / F.greatest(F.sum("n"), F.lit(1))).alias("base"))
+    # each distinct tail once; what it adds to the ends is 0 for one with a remnant
+    tails = ends.select("tail", "h", (F.col("kind") == 0).cast("int").alias("e")).distinct()
+    keys = checkpoint(tails.select("e", F.posexplode("h").alias("o", "h")).groupBy("o", "h").agg(F.sum("e").alias("n_end")))
+    on = _continuations(spread(raw.select("t")), keys.select("h"))
     # contexts of the model: both counts of every context in which some text ends
-    model = keys.join(n_end, "h", "left").join(on, "h", "left").fillna(0, ["n_end", "n_on"])
-    long = ends.select("d", "l", "marked", F.posexplode("h").alias("o", "h"))
-    joined = long.join(model, "h").groupBy("d").agg(F.first("l").alias("l"), F.first("marked").alias("marked"), F.sort_array(F.collect_list(F.struct("o", "n_end", "n_on"))).alias("s"))
-    chars = max(1, docs.select(F.sum(F.length(text))).first()[0] or 1)
-    return joined.select(F.col("d").alias(key), "l", "marked", _end_log(F.col("s"), F.col("marked"), min(1.0, max(total, 1) / chars)).alias("log_end"))
-
-
-def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, l, marked, log_end, cut) of every non-blank text."""
+    model = keys.join(on, "h", "left").fillna(0, ["n_on"])
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.when(F.col("o") < hot_orders, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    long = ends.select("d", "l", "kind", F.posexplode("h").alias("o", "h")).withColumn("salt", F.when(F.col("o") < hot_orders, F.pmod(F.col("d"), F.lit(salts)).cast("int")).otherwise(0))
+    joined = long.join(model.withColumn("salt", F.explode(every)), ["o", "h", "salt"]).groupBy("d", "l", "kind").agg(F.sort_array(F.collect_list(F.struct("o", "n_end", "n_on"))).alias("s"))
+    joined = joined.join(F.broadcast(base))  # one row
+    return joined.select(F.col("d").alias(key), "l", "kind", _end_log(F.col("s"), F.col("kind") > 0, F.col("base")).alias("log_end"))
+
+
+def remnant_shifts(scores: DataFrame, limit: Column, most_shift: float) -> dict[int, float]:
+    """Per kind of remnant the log10 of how much likelier it is in a text that goes on than in one that ends, judged by
+    the text before it; at most `most_shift`, at least 0. Collects kinds x 2 counts."""
+    rows = scores.groupBy("kind", (F.col("log_end") < limit).alias("goes_on")).agg(F.count(F.lit(1)).alias("n")).collect()
+    n = {(r.kind, r.goes_on): r.n for r in rows}
+    all_on, all_end = (sum(v for (_, g), v in n.items() if g == x) for x in (True, False))
+    ratio = lambda k: ((n.get((k, True), 0) + 1) / (all_on + 1)) / ((n.get((k, False), 0) + 1) / (all_end + 1))
+    return {k: min(max(math.log10(ratio(k)), 0.0), most_shift) for k in {k for k, _ in n} if k}
+
+
+def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_shift: float = 0.5) -> DataFrame:
+    """(key, l, kind, log_end, cut) of every non-blank text."""
     scores = checkpoint(end_scores(docs, key, text, lang))
     t = thresholds(scores)
-    limit = F.lit(t.get("", -2.5))
+    limit = F.lit(t[""])
     for k, v in sorted(t.items()):
         if k:
             limit = F.when(F.col("l") == k, F.lit(v)).otherwise(limit)
-    return scores.withColumn("cut", F.col("marked") | (F.col("log_end") < limit))
+    shift = F.lit(0.0)
+    for k, v in sorted(remnant_shifts(scores, limit, most_shift).items()):
+        shift = F.when(F.col("kind") == k, F.lit(v)).otherwise(shift)
+    return scores.withColumn("cut", F.col("log_end") - shift < limit)
