@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary folder is
+    used on a single machine (``local``); on a cluster it is an error, as executors would not share the folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"tallyvane-{uuid.uuid4().hex}"))
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"tallyvane-{uuid.uuid4().hex}"))
     return df.checkpoint(eager=True)
 
 
@@ -62,16 +66,18 @@ def spread(df: DataFrame, *cols) -> DataFrame:
     return df.repartition(n)
 
 
-def dense_index(df: DataFrame, group: list[str], order: list[str], out: str, salts: int = 64) -> DataFrame:
+def dense_index(df: DataFrame, group: list[str], order: list[str], out: str, salts: int | None = None) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without ever holding a group in one task.
 
     Rows of a group are dealt by a hash of `order` to `salts` sub-groups, numbered inside each, and shifted by
-    the number of rows in the sub-groups before (a window over at most `salts` rows a group). `order` must
+    the number of rows in the sub-groups before (a window over at most `salts` rows a group). There are as many
+    sub-groups as the session has shuffle partitions, 64 at least, so they grow with the cluster. `order` must
     identify a row within its group for the numbering to be reproducible; ties share a sub-group and get
     different numbers. Adds column `out` (bigint). Null group keys form one group of their own.
     """
     from pyspark.sql import Window as W
 
+    salts = salts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     s, n, b = f"__{out}_salt", f"__{out}_n", f"__{out}_base"
     d = df.withColumn(s, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)).cast("int"))
     sizes = d.groupBy(*group, s).agg(F.count(F.lit(1)).alias(n))
