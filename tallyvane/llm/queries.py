@@ -75,8 +75,8 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every source that cannot reach its share of a mix as large as the corpus."""
-    return mixing.source_budget(_tokens(spark, d), table(spark, d, "mix_targets")).where(~F.col("reachable")).select("source")
+    """Every source that the mix leaves short of its share of a mix as large as the corpus."""
+    return mixing.short_sources(_tokens(spark, d), table(spark, d, "mix_targets")).select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -121,7 +121,7 @@ def test_repeated_lines_against_brute_force(spark):
     assert R.repeated_lines(edf.limit(0), mdf).count() == 0
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 10])
+@pytest.mark.parametrize("bound", [1_000_000, 20])
 def test_leaks_against_brute_force(spark, bound):
     r = random.Random(4)
     item = ["".join(r.choice("abcdefgh 1,") for _ in range(150)) for _ in range(5)]
@@ -134,7 +134,7 @@ def test_leaks_against_brute_force(spark, bound):
     items = list(enumerate(item)) + [(8, None), (9, item[0]), (10, "short")]
     sq = L.squeeze
     want = {(d, i) for d, t in docs if t for i, u in items if u and any(sq(u)[k : k + 60] in sq(t) for k in range(len(sq(u)) - 59))}
-    got = [(x.doc_id, x.item_id) for x in L.leaks_found(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), max_seeds=bound).collect()]
+    got = [(x.doc_id, x.item_id) for x in L.leaks_found(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_seeds=bound).collect()]
     assert want and set(got) == want and len(got) == len(want)
 
 
@@ -152,6 +152,19 @@ def test_alignment():
         assert L.smith_waterman(a, b) == plain(a, b)
 
 
+def test_shortness_follows_from_the_mix(spark):
+    """A source is short if the sampled mix spends all its documents and stays below the target; same as the budget."""
+    r = random.Random(16)
+    for _ in range(3):
+        n = {s: r.randint(1, 40) for s in "abcde"}
+        docs = [(k * 100 + i, "word " * r.randint(1, 30), s) for k, s in enumerate(n) for i in range(n[s])] + [(900, "", "f"), (901, None, "g")]
+        share = {s: r.random() for s in "abcdefgh"}
+        targets = spark.createDataFrame([(s, x / sum(share.values()), r.randint(1, 3)) for s, x in share.items()], "source string, target_share double, max_repeats int")
+        tokens = M.document_tokens(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
+        want = {x.source for x in M.source_budget(tokens, targets).where("not reachable").collect()}
+        assert {x.source for x in M.short_sources(tokens, targets).collect()} == want and {"f", "g", "h"} <= want
+
+
 def test_mixing(spark):
     r = random.Random(6)
     docs = [(i, "word " * r.randint(1, 60), "big" if i < 900 else "small" if i < 960 else "spare") for i in range(1000)] + [(2000, None, "big"), (2001, "", "small"), (2002, "word", None)]
@@ -267,7 +280,7 @@ def test_end_contexts_of_long_list_items(spark):
         assert got[i] == h.at(h.prefix(s), np.full(len(ks), len(s)), ks).view(np.int64).tolist()
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 10])
+@pytest.mark.parametrize("bound", [1_000_000, 20])
 def test_scores_cover_all_windows(spark, bound):
     """A full or edited copy behind an early short quotation is scored whole, whatever the number of seeds."""
     r = random.Random(8)
@@ -275,5 +288,5 @@ def test_scores_cover_all_windows(spark, bound):
     junk = "".join(r.choice("xyz") for _ in range(5000))
     docs = [(1, item[100:170] + junk + item + junk), (2, item[:130] + "xyz" * 15 + item[130:]), (3, junk + item[:150] + junk + item[150:])]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")
-    got = {x.doc_id: x.score for x in L.leak_pairs(d, i, max_seeds=bound).collect()}
+    got = {x.doc_id: x.score for x in L.leak_pairs(d, i, block_seeds=bound).collect()}
     assert got == {k: L.smith_waterman(item, s) for k, s in docs} and got[1] == 600 and got[2] == 510
