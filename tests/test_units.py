@@ -113,3 +113,31 @@ def test_converted_values(spark):
     # 3 + (3 - 0.34, no known factor) - 5.66 (no known factor): only the first change is reversed
     assert [got["s", i] for i in (0, 6, 12, 18)] == pytest.approx([5, 5, 5e3 * 0.45359237, 5e-3])
     assert all(got["t", i] == pytest.approx(8) for i in range(18))
+
+
+def test_units_named_far_off_and_in_other_words():
+    far = "Plant consumption, measured in GWh by the meters that the board had installed after the long dispute with the grid company over the two older ones, came to 5.3 last year."
+    assert U.in_text(far, far.index("5.3"), "5.3") == ("kWh", 5.3e6)
+    for text, raw, want in (("Pesava 14 tonnellate.", "14", ("kg", 14e3)), ("The catch was 14 stone.", "14", ("kg", 14 * 14 * 0.45359237)), ("The field covers 3 square miles.", "3", ("m2", 3 * 2589988.110336)), ("Der Tank fasst 1.250,5 Liter.", "1.250,5", ("l", 1250.5))):
+        assert U.in_text(text, text.index(raw), raw) == pytest.approx(want)
+
+
+def test_a_bare_table_says_nothing():
+    grid = [["", "2023"], ["Alpha", "12"]]
+    assert U.in_table("", None, grid, 1, 1, "12") is None
+    assert U.in_table("", "Amounts in $", grid, 1, 1, "12") == ("USD", 12.0)
+
+
+def test_a_shift_of_the_recording_unit_gives_the_scale(spark):
+    """Dollar amounts without a printed scale follow their source's history: without the shifts the result differs."""
+    import datetime as dt
+
+    chunks = spark.createDataFrame([("a", "Costs were $12.5 there.", None, None, "X"), ("b", "Costs were $12.5 there.", None, None, "Y")], "chunk_id string, content string, caption string, raw_table array<array<string>>, company string")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1000 * k + i, c, 11, None, None, "$12.5", 12.5 * (1e6 if c == "a" and i >= 30 else 1.0), t0 + dt.timedelta(days=i)) for k, c in enumerate("ab") for i in range(60)]
+    rows.append((5000, "b", 11, None, None, "$12.5", 12.5e6, t0 + dt.timedelta(days=20, hours=1)))  # a single one is no run
+    numbers = spark.createDataFrame(rows, "number_id bigint, chunk_id string, char_start int, cell_row int, cell_col int, raw string, value double, extracted_at timestamp")
+    got = {r.number_id: (r.base_unit, r.base_value) for r in U.common_units(numbers, chunks).collect()}
+    plain = {r.number_id: (r.base_unit, r.base_value) for r in U.common_units(numbers, chunks, history=False).collect()}
+    assert set(plain.values()) == {("USD", 12)} and set(got) == set(plain)
+    assert {k for k in got if got[k] != plain[k]} == set(range(30, 60)) and got[45] == ("USD", 12_500_000)
