@@ -52,5 +52,6 @@ PARAGRAPH_SPLIT = r"\n{2,}"
 HEADING = r"^(?:(?:\d+[.)]?\s+)?(?:results\s+of\s+operations|financial\s+(highlights|results|statements)|revenue|net\s+income|gross\s+profit|operating|risk\s+factors|liquidity|management.{0,30}discussion|notes?\s+to|segment|overview|outlook|guidance|cash\s+flow)[^\n]{0,120})"
 HEADING_MAX, SECTION_MAX, MIN_BLOCK, MIN_AREA = 200, 80, 10, 0.02
 METRIC_KS = [1, 3, 5, 10]
+ENCODER_DIM = 64
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 EN_DASH = "–"

@@ -11,6 +11,10 @@ from tallyvane.functions.text import tokens
 from tallyvane.session import checkpoint, spread
 
 
+#: Rows of (query, term) that may be broadcast, about 64 bytes each.
+BROADCAST_TERMS = 500_000
+
+
 def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", order: str = "ord") -> dict[str, DataFrame]:
     """postings(term, chunk_id, ord, dl, tf), idf(term, idf) and stats(n, avgdl).
 
@@ -38,8 +42,11 @@ def search(queries: DataFrame, ix: dict[str, DataFrame], k: int | None = X.TOP_K
     scores are summed with a map-side combine.
     """
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = q.join(ix["idf"], "term")
-    hits = weighted.join(ix["postings"], "term").join(F.broadcast(ix["stats"].select("avgdl")))  # one row
+    # up to BROADCAST_TERMS the query terms go to the postings, which then need no shuffle and know no hot terms;
+    # beyond it the postings are joined by term, the same rows either way
+    few = q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    weighted = (F.broadcast(q) if few else q).join(ix["idf"], "term")
+    hits = ix["postings"].join(F.broadcast(weighted) if few else weighted, "term").join(F.broadcast(ix["stats"].select("avgdl")))  # one row
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id", "ord").agg(F.round(F.sum(part), 9).alias("score"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyvane.functions import fixed as X
 from tallyvane.operators.bm25 import ranked
 
-#: Bytes of query vectors that may be broadcast at once; more queries are searched in several blocks.
+#: Bytes of query vectors in one block; a single block is broadcast, several are met with parts of the corpus.
 BLOCK_BYTES = 32 << 20
 
 
@@ -30,44 +30,57 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = X.TOP_K) -> DataFrame
     """(query_id, chunk_id, ord, score, rank): the best k of corpus(chunk_id, ord, embedding) for each of
     queries(query_id, embedding). Ties keep corpus order; null vectors are left out.
 
-    Query vectors are broadcast in blocks of at most BLOCK_BYTES; each corpus batch is one matrix product and
-    keeps its own best k per query, so k rows a query and batch are shuffled for the final ranking.
+    Query vectors are dealt to blocks of at most BLOCK_BYTES by their number; each block is one row, and the blocks meet
+    the corpus batches in one pass: the rows are joined to the corpus by broadcast when there is a single block (its
+    size is known), else by dealing every corpus batch to every block. Each meeting is one matrix product that keeps its
+    own best k per query, so k rows a query and batch are shuffled for the final ranking. No query passes the driver.
     """
-    spark = corpus.sparkSession
     q = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("bigint"), "embedding")
     head = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     c = corpus.where(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ord").cast("bigint").alias("ord"), "embedding")
     schema = "query_id bigint, chunk_id string, ord bigint, score double"
-    if not head.n:
-        return ranked(spark.createDataFrame([], schema), k)
-    blocks = max(1, -(-head.n * head.d * 8 // BLOCK_BYTES))
-    out = None
-    for i in range(blocks):
-        part = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q).toPandas()  # one block
+    blocks = max(1, -(-head.n * (head.d or 1) * 8 // BLOCK_BYTES))
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best(left["query_id"].to_numpy(), np.stack(left["embedding"].to_numpy()).astype(np.float64), right, k) if len(left) and len(right) else pd.DataFrame({"query_id": [], "chunk_id": [], "ord": [], "score": []})
+
+    if blocks == 1:
+        # one block: bounded by BLOCK_BYTES, so it may travel with the tasks
+        part = q.toPandas()
         if not len(part):
-            continue
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(np.float64)))
+            return ranked(q.sparkSession.createDataFrame([], schema), k)
+        shared = q.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(np.float64)))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, m = shared.value
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                ords, names = pdf["ord"].to_numpy(), pdf["chunk_id"].to_numpy()
-                s = np.round(m @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 9)
-                n = min(k, len(pdf))
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                low = np.take_along_axis(s, best, 1).min(axis=1)
-                r, j = np.nonzero(s >= low[:, None])  # ties of the last place all stay
-                yield pd.DataFrame({"query_id": ids[r], "chunk_id": names[j], "ord": ords[j], "score": s[r, j]})
-
-        found = c.mapInPandas(run, schema)
-        out = found if out is None else out.union(found)
-    return ranked(out.select("query_id", "chunk_id", "ord", F.round("score", 9).alias("score")), k)
-
-
-def hashed_encoder(dim: int = 64, prefix: str = "") -> Callable[[Column], Column]:
-    """The offline stand-in for a neural encoder: signed hashes of tokens, summed per dimension, unit length."""
+                if len(pdf):
+                    yield _best(ids, m, pdf, k)
+
+        found = c.mapInPandas(scan, schema)
+    else:
+        # many blocks: queries by block, the corpus by part; each (block, part) is a group of bounded size
+        parts = max(1, c.rdd.getNumPartitions())
+        left = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = c.withColumn("p", F.pmod(F.xxhash64("ord"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(run, schema)
+    return ranked(found.select("query_id", "chunk_id", "ord", F.round("score", 9).alias("score")), k)
+
+
+def _best(ids: np.ndarray, m: np.ndarray, pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k of a batch for each query, ties of the last place included."""
+    ords, names = pdf["ord"].to_numpy(), pdf["chunk_id"].to_numpy()
+    s = np.round(m @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 9)
+    n = min(k, len(pdf))
+    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    low = np.take_along_axis(s, best, 1).min(axis=1)
+    r, j = np.nonzero(s >= low[:, None])
+    return pd.DataFrame({"query_id": ids[r], "chunk_id": names[j], "ord": ords[j], "score": s[r, j]})
+
+
+def hashed_encoder(dim: int = X.ENCODER_DIM, prefix: str = "") -> Callable[[Column], Column]:
+    """The offline stand-in for a neural encoder: signed hashes of tokens (of the first three hex digits of their md5),
+    summed per dimension, unit length. A text without tokens has the zero vector."""
     from tallyvane.functions.text import tokens
 
     from pyspark.sql.functions import pandas_udf
@@ -76,13 +89,13 @@ def hashed_encoder(dim: int = 64, prefix: str = "") -> Callable[[Column], Column
     def fold(hashes: pd.Series) -> pd.Series:
         out = []
         for h in hashes:
-            h, v = np.asarray(h if h is not None else [], dtype=np.int64), np.zeros(dim)
-            np.add.at(v, h % dim, np.where((h >> 32) % 2 == 0, 1.0, -1.0))
+            h = np.asarray(h if h is not None else [], dtype=np.int64)
+            v = np.bincount((h >> 4) % dim, np.where(h % 2 == 0, 1.0, -1.0), dim)
             out.append((v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32))
         return pd.Series(out)
 
     def encode(text: Column) -> Column:
-        return fold(F.transform(tokens(F.concat(F.lit(prefix), text)), lambda w: F.xxhash64(w)))
+        return fold(F.transform(tokens(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))), lambda w: F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int")))
 
     return encode
 

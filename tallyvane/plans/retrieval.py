@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +12,9 @@ from tallyvane.functions import fixed as X
 from tallyvane.functions import text as T
 from tallyvane.operators import answers, bm25, dense, fusion, metrics
 from tallyvane.plans import sql as S
-from tallyvane.session import table
+from tallyvane.session import checkpoint, spread, table
 
-DEEP = 10_000
+_BUILT: dict[tuple, object] = {}
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -22,14 +25,37 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark_items").withColumnRenamed("item_id", "query_id")
 
 
+def _once(spark: SparkSession, d: str, name: str, build: Callable[[], object]) -> object:
+    """What `build` makes of a table of the directory, made once a session and kept for as long as its files stay the
+    same: an index is built once and read by all queries."""
+    files = tuple(sorted((f, os.path.getmtime(p) if os.path.exists(p := f.removeprefix("file://").removeprefix("file:")) else 0) for f in table(spark, d, name.split(":")[0]).inputFiles()))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
-    return _chunks(spark, d).select("chunk_id", "ord").join(e, "ord")
+    """The offline encoder's vector of every chunk."""
+    e = dense.hashed_encoder()
+    return _once(spark, d, "chunks:vectors", lambda: checkpoint(spread(_chunks(spark, d).select("chunk_id", "ord", "content")).select("chunk_id", "ord", e(F.col("content")).alias("embedding"))))
+
+
+def _encoded(questions: DataFrame) -> DataFrame:
+    e = dense.hashed_encoder(prefix=X.QUERY_PREFIX)
+    return questions.select("query_id", e(F.col("question")).alias("embedding"))
 
 
 def _query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return _questions(spark, d).select("query_id").join(e, "query_id")
+    return _encoded(_questions(spark, d))
+
+
+def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return _once(spark, d, "chunks:bm25", lambda: bm25.index(_chunks(spark, d)))
+
+
+def _document_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return _once(spark, d, "documents:bm25", lambda: bm25.index(table(spark, d, "documents"), "doc_id", "text", "doc_id"))
 
 
 def _dense(spark: SparkSession, d: str, k: int = X.TOP_K) -> DataFrame:
@@ -37,14 +63,16 @@ def _dense(spark: SparkSession, d: str, k: int = X.TOP_K) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str, k: int | None = X.TOP_K) -> DataFrame:
-    return bm25.search(_questions(spark, d).select("query_id", F.col("question").alias("query")), bm25.index(_chunks(spark, d)), k)
+    return bm25.search(_questions(spark, d).select("query_id", F.col("question").alias("query")), _index(spark, d), k)
 
 
-Q_VEC = "SELECT item_id AS query_id, embedding FROM benchmark_items JOIN embeddings ON vec_id = item_id"
-C_VEC = "SELECT chunk_id, ord, embedding FROM chunks JOIN embeddings ON vec_id = ord"
+C_VECS = S.vectors("SELECT chunk_id AS id, content AS t FROM chunks", "cv")
+VECS = C_VECS + "," + S.vectors(f"SELECT item_id AS id, '{X.QUERY_PREFIX}' || coalesce(question, '') AS t FROM benchmark_items", "qv")
+Q_VEC = "SELECT id AS query_id, embedding FROM qv"
+C_VEC = "SELECT chunk_id, ord, embedding FROM chunks JOIN cv ON id = chunk_id"
 CORPUS = "SELECT chunk_id, ord, content FROM chunks"
 QUESTIONS = "SELECT item_id AS query_id, question AS query FROM benchmark_items"
-BOTH = S.dense(C_VEC, Q_VEC) + "," + S.bm25(CORPUS, QUESTIONS)
+BOTH = VECS + "," + S.dense(C_VEC, Q_VEC) + "," + S.bm25(CORPUS, QUESTIONS)
 CLASSED = f"qs AS (SELECT item_id AS query_id, question, query_class, {S.weight('query_class', 0)} AS w_dense, {S.weight('query_class', 1)} AS w_bm25 FROM (SELECT *, {S.query_class('question', S.named_pair('question'))} AS query_class FROM benchmark_items))"
 PLAIN = "qs AS (SELECT item_id AS query_id, question, 'factual' AS query_class, 0.5e0 AS w_dense, 0.5e0 AS w_bm25 FROM benchmark_items)"
 
@@ -79,7 +107,7 @@ SQL["canonical_money"] = f"SELECT DISTINCT raw, {S.canonical('lower(raw)')} AS c
 
 def bm25_stats(spark, d):
     """Document frequency and weight of every term of the documents."""
-    ix = bm25.index(table(spark, d, "documents"), "doc_id", "text", "doc_id")
+    ix = _document_index(spark, d)
     df = ix["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     return df.join(ix["idf"], "term").select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
@@ -91,7 +119,7 @@ SQL["bm25_stats"] = f"WITH {S.bm25(_DOCS, _PASSAGES)} SELECT term, count(*) AS d
 
 def bm25_topk(spark, d):
     """The 20 best documents of every benchmark passage."""
-    ix = bm25.index(table(spark, d, "documents"), "doc_id", "text", "doc_id")
+    ix = _document_index(spark, d)
     q = table(spark, d, "benchmark_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return bm25.search(q, ix).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
@@ -214,7 +242,7 @@ def baseline_bm25(spark, d):
     return _lexical(spark, d).select("query_id", "chunk_id", "score", "rank")
 
 
-SQL["baseline_dense"] = f"WITH {S.dense(C_VEC, Q_VEC)} SELECT query_id, chunk_id, score, rank FROM den"
+SQL["baseline_dense"] = f"WITH {VECS}, {S.dense(C_VEC, Q_VEC)} SELECT query_id, chunk_id, score, rank FROM den"
 SQL["baseline_bm25"] = f"WITH {S.bm25(CORPUS, QUESTIONS)} SELECT query_id, chunk_id, score, rank FROM lex"
 
 
@@ -245,11 +273,15 @@ def cross_company_topk(spark, d):
     """Company-balanced retrieval for the questions that name two companies."""
     q = _pair_questions(spark, d)
     named = fusion.mentioned_companies(q, table(spark, d, "manifest"))
-    classed = fusion.classified(q)
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    deep = X.TOP_K * 4 * 4  # depth of up to four named companies
-    den = dense.search(q.select("query_id").join(e, "query_id"), _vectors(spark, d), deep)
-    lex = bm25.search(q.select("query_id", F.col("question").alias("query")), bm25.index(_chunks(spark, d)), deep)
+    return _cross_company(spark, d, q, fusion.classified(q), named)
+
+
+def _cross_company(spark, d, q, classed, named):
+    named = checkpoint(named)
+    most = named.agg(F.max("n_companies")).first()[0] or 1
+    deep = min(X.TOP_K * most * 4, X.DEPTH_LIMIT)
+    den = checkpoint(dense.search(_encoded(q), _vectors(spark, d), deep))
+    lex = checkpoint(bm25.search(q.select("query_id", F.col("question").alias("query")), _index(spark, d), deep))
     return fusion.cross_company(classed, den, lex, named, _chunks(spark, d))
 
 
@@ -260,10 +292,11 @@ def _balanced_sql(name: str, out: str) -> str:
 {out} AS (SELECT query_id, chunk_id, ord, rank FROM {out}_g UNION ALL SELECT m.query_id, chunk_id, ord, coalesce(n_head, 0) + row_number() OVER (PARTITION BY m.query_id ORDER BY company_no, rank) FROM {out}_m m LEFT JOIN {out}_n USING (query_id) WHERE pos <= {X.COMPANY_TOP_K} AND rank > {X.TOP_K})"""
 
 
-SQL["cross_company_topk"] = f"""WITH {PAIRS}, {MENTIONED},
-{S.dense(C_VEC, 'SELECT query_id, embedding FROM pq JOIN embeddings ON vec_id = query_id', X.TOP_K * 16)},
-{S.bm25(CORPUS, 'SELECT query_id, question AS query FROM pq', X.TOP_K * 16)},
-{_balanced_sql('den', 'bd')}, {_balanced_sql('lex', 'bl')},
+_CROSS = f"""{C_VECS}, {S.vectors(f"SELECT query_id AS id, '{X.QUERY_PREFIX}' || question AS t FROM pq", 'pv')},
+{S.dense(C_VEC, 'SELECT id AS query_id, embedding FROM pv', None, 'dp')},
+{S.bm25(CORPUS, 'SELECT query_id, question AS query FROM pq', None, 'lp')},
+{_balanced_sql('dp', 'bd')}, {_balanced_sql('lp', 'bl')}"""
+SQL["cross_company_topk"] = f"""WITH {PAIRS}, {MENTIONED}, {_CROSS},
 sc AS (SELECT p.*, {S.wrrf('0.5e0', '0.5e0')} AS wrrf_score, round({S.wrrf('0.5e0', '0.5e0')} + CASE WHEN chunk_type = 'table' THEN {X.TABLE_BOOST}e0 ELSE 0e0 END, 9) AS score FROM ({S.pool('bd', 'bl')}) p JOIN (SELECT chunk_id, chunk_type FROM chunks) USING (chunk_id))
 SELECT query_id, chunk_id, dense_rank, bm25_rank, wrrf_score, score, {S.cut()} AS rank FROM sc QUALIFY rank <= {X.TOP_K}"""
 
@@ -326,8 +359,9 @@ SQL["retrieval_metrics"] = f"WITH {_hybrid_sql(CLASSED, True)}, {GOLD}, {_metric
 def _five(spark, d):
     """The five configurations in one long table: config, query_id, chunk_id, rank."""
     q, c = _questions(spark, d), _chunks(spark, d)
-    den, lex = _dense(spark, d), _lexical(spark, d)
-    weighted = fusion.hybrid(fusion.classified(q), den, lex, c)
+    # each list is read by several configurations: written once
+    den, lex = checkpoint(_dense(spark, d)), checkpoint(_lexical(spark, d))
+    weighted = checkpoint(fusion.hybrid(fusion.classified(q), den, lex, c))
     parts = {"dense": den, "bm25": lex, "unweighted": fusion.hybrid(fusion.unclassified(q), den, lex, c, boosts=False), "weighted": weighted, "reranked": answers.rerank(weighted, q, c)}
     out = None
     for name, p in parts.items():
@@ -359,9 +393,11 @@ SQL["rerank_lexical"] = f"WITH {_hybrid_sql(CLASSED, True)}, {RERANKED} SELECT *
 
 
 def encode_texts(spark, d):
-    """The offline encoder's vectors of all questions, with the query prefix."""
-    e = dense.hashed_encoder(prefix=X.QUERY_PREFIX)
-    return _questions(spark, d).select("query_id", e(F.col("question")).alias("v"))
+    """The offline encoder's vectors of all questions, with the query prefix, one row a dimension."""
+    return _query_vectors(spark, d).select("query_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+SQL["encode_texts"] = f"WITH {VECS} SELECT id AS query_id, unnest(range({X.ENCODER_DIM})) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM qv"
 
 
 def queries() -> dict:

@@ -35,6 +35,19 @@ def bm25(corpus: str, queries: str, k: int | None = X.TOP_K, name: str = "lex")
 {name} AS (SELECT * FROM {name}_k WHERE {top}score > 0)"""
 
 
+HEX = "'0123456789abcdef'"
+
+
+def vectors(texts: str, name: str, dim: int = X.ENCODER_DIM) -> str:
+    """CTEs ending in `name`(id, embedding): the offline encoder's vectors of texts giving id and t."""
+    digit = lambda i: f"(strpos({HEX}, substr(m, {i}, 1)) - 1)"
+    return f"""
+{name}_t AS (SELECT id, {tokens('t')} AS ts FROM ({texts})),
+{name}_d AS (SELECT id, dim, sum(s) AS s FROM (SELECT id, ({digit(1)} * 16 + {digit(2)}) % {dim} AS dim, CASE WHEN {digit(3)} % 2 = 0 THEN 1e0 ELSE -1e0 END AS s FROM (SELECT id, md5(t) AS m FROM (SELECT id, unnest(ts) AS t FROM {name}_t))) GROUP BY ALL),
+{name}_n AS (SELECT id, sqrt(sum(s * s)) AS n FROM {name}_d GROUP BY id),
+{name} AS (SELECT k.id, array_agg(coalesce(CAST(s / nullif(n, 0) AS FLOAT), CAST(0 AS FLOAT)) ORDER BY k.dim) AS embedding FROM (SELECT id, unnest(range({dim})) AS dim FROM {name}_t) k LEFT JOIN {name}_d d ON d.id = k.id AND d.dim = k.dim LEFT JOIN {name}_n n ON n.id = k.id GROUP BY k.id)"""
+
+
 def dense(corpus: str, queries: str, k: int | None = X.TOP_K, name: str = "den") -> str:
     """CTEs ending in `name`(query_id, chunk_id, ord, score, rank); both inputs give embedding."""
     top = f"WHERE rank <= {k}" if k else ""
