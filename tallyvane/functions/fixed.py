@@ -45,6 +45,9 @@ PLAIN_NUMBER = r"(?<!\w)(\$\s*)?([0-9,]+(?:\.[0-9]+)?)\s*(billion|million|thousa
 MULTIPLIERS = {"b": 1e9, "bn": 1e9, "billion": 1e9, "m": 1e6, "mn": 1e6, "million": 1e6, "k": 1e3, "thousand": 1e3}
 TOLERANCE, UNVERIFIABLE_FROM, CONTEXT_CHARS = 0.02, 0.5, 60
 
+MISMATCH_METRIC = "{raw} matches evidence value {closest:.4g} numerically but metric context differs (answer: {answer}, evidence: {evidence}). Possible metric substitution."
+MISMATCH_VALUE = "Answer states {raw} (\u2248{value:.4g}) but closest evidence value is {closest:.4g} ({percent:.1f}% difference)."
+
 # Chunking and element parsing.
 MAX_WORDS, OVERLAP_WORDS, TABLE_MAX_WORDS, MIN_CHARS, ROW_GROUP = 512, 64, 1024, 30, 20
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
@@ -52,6 +55,8 @@ PARAGRAPH_SPLIT = r"\n{2,}"
 HEADING = r"^(?:(?:\d+[.)]?\s+)?(?:results\s+of\s+operations|financial\s+(highlights|results|statements)|revenue|net\s+income|gross\s+profit|operating|risk\s+factors|liquidity|management.{0,30}discussion|notes?\s+to|segment|overview|outlook|guidance|cash\s+flow)[^\n]{0,120})"
 HEADING_MAX, SECTION_MAX, MIN_BLOCK, MIN_AREA = 200, 80, 10, 0.02
 METRIC_KS = [1, 3, 5, 10]
+# Display of answers.
+BULLET, SOURCES, WARNINGS = "  \u2022 ", "**Sources:**", "\u26a0\ufe0f **Numerical Verification Warnings:**"
 ENCODER_DIM = 64
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 EN_DASH = "–"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,7 +26,8 @@ class Generator(Protocol):
 
 
 class Describer(Protocol):
-    """Describes a figure from its image path and context; '' on failure."""
+    """Describes a figure from its image path and its caption; '' on failure. One that takes `company` and `section`
+    is given them."""
 
     def __call__(self, image_path: str, context: str) -> str: ...
 
@@ -98,41 +102,62 @@ def extractive(question: str, evidence: str) -> str:
 
 
 def generate(questions: DataFrame, blocks: DataFrame, model: Generator = extractive) -> DataFrame:
-    """(query_id, answer, citations, confidence, abstained) of questions(query_id, question): one model call a
-    row, in Arrow batches; a failing call or missing evidence abstains."""
+    """(query_id, answer, citations, confidence, abstained, calls, latency_s) of questions(query_id, question): one
+    model call a row, in Arrow batches, none without evidence; a failing call or missing evidence abstains. latency_s
+    is the call's time to two decimals."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, took = [], []
             for q, b in zip(pdf["question"], pdf["block"]):
+                t = time.perf_counter()
                 try:
                     out.append(model(q, b) if b else '{"answer": "", "abstained": true}')
                 except Exception:  # noqa: BLE001 - whatever a model client raises
                     out.append('{"answer": "", "abstained": true}')
-            yield pd.DataFrame({"query_id": pdf["query_id"], "raw": out})
-
-    rows = questions.select("query_id", "question").join(blocks, "query_id", "left").mapInPandas(run, "query_id bigint, raw string")
-    return rows.select("query_id", parse_response(F.col("raw")).alias("r")).select("query_id", "r.*")
-
-
-def display(results: DataFrame) -> DataFrame:
-    """(query_id, shown): the answer, its distinct sources and the confidence as one text."""
-    src = F.array_distinct(F.transform("citations", lambda c: F.concat_ws(", ", c["company"], c["document"], F.concat(F.lit("p."), c["page"].cast("string")))))
-    return results.select("query_id", F.concat_ws("\n", F.when(F.col("abstained"), F.lit("No answer in the evidence.")).otherwise(F.col("answer")), F.when(F.size(src) > 0, F.concat(F.lit("Sources: "), F.array_join(src, "; "))), F.concat(F.lit("Confidence: "), F.col("confidence"))).alias("shown"))
+                took.append(round(time.perf_counter() - t, 2))
+            yield pd.DataFrame({"query_id": pdf["query_id"], "raw": out, "calls": pdf["block"].notna().astype("int64"), "latency_s": np.array(took, dtype=float)})
+
+    rows = questions.select("query_id", "question").join(blocks, "query_id", "left").mapInPandas(run, "query_id bigint, raw string, calls bigint, latency_s double")
+    return rows.select("query_id", parse_response(F.col("raw")).alias("r"), "calls", "latency_s").select("query_id", "r.*", "calls", "latency_s")
+
+
+def display(results: DataFrame, mismatches: DataFrame | None = None) -> DataFrame:
+    """(query_id, shown): the answer, its distinct sources, the warnings of mismatches(query_id, num_ord, message) and
+    the confidence as one text; see the formats in `fixed`."""
+    none = F.array().cast("array<string>")
+    or_ = lambda c, v: F.coalesce(c.cast("string"), F.lit(v))
+    line = lambda c: F.concat(F.lit(X.BULLET), or_(c["company"], "Unknown"), F.lit(" \u2014 "), or_(c["document"], ""), F.lit(" | Page "), or_(c["page"], "?"), F.when(or_(c["section"], "") != "", F.concat(F.lit(" | "), c["section"])).otherwise(""))
+    src = F.array_distinct(F.transform(F.coalesce("citations", F.from_json(F.lit("[]"), results.schema["citations"].dataType)), line))
+    r = results
+    if mismatches is not None:
+        warned = mismatches.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("num_ord", "message"))), lambda m: F.concat(F.lit(X.BULLET), m["message"])).alias("warnings"))
+        r = r.join(warned, "query_id", "left")
+    warnings = F.coalesce("warnings", none) if mismatches is not None else none
+    parts = F.concat(
+        F.array(F.coalesce("answer", F.lit("")), F.lit("")),
+        F.when(F.size(src) > 0, F.concat(F.array(F.lit(X.SOURCES)), src)).otherwise(none),
+        F.when(F.size(warnings) > 0, F.concat(F.array(F.lit(""), F.lit(X.WARNINGS)), warnings)).otherwise(none),
+        F.array(F.concat(F.lit("\n*Confidence: "), F.coalesce("confidence", F.lit("")), F.lit("*"))),
+    )
+    return r.select("query_id", F.array_join(parts, "\n").alias("shown"))
 
 
 def describe_charts(elements: DataFrame, model: Describer | None = None) -> DataFrame:
-    """Figures with a description from the model; without a model they are dropped, other elements are kept."""
+    """Figures with a description from the model, which gets image path, caption and, if it takes them, company and
+    section; without a model figures are dropped, other elements are kept."""
     if model is None:
         return elements.where("element_type <> 'chart'")
     schema = elements.schema
+    takes = set(inspect.signature(model).parameters) & {"company", "section"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = []
-            for kind, path, caption, old in zip(pdf["element_type"], pdf["image_path"], pdf["caption"], pdf["description"]):
+            more = zip(*[[x or "" for x in pdf[c]] for c in sorted(takes)]) if takes else iter([()] * len(pdf))
+            for kind, path, caption, old, extra in zip(pdf["element_type"], pdf["image_path"], pdf["caption"], pdf["description"], more):
                 try:
-                    texts.append((model(path, caption or "") or "") if kind == "chart" else old)
+                    texts.append((model(path, caption or "", **dict(zip(sorted(takes), extra))) or "") if kind == "chart" else old)
                 except Exception:  # noqa: BLE001
                     texts.append("")
             yield pdf.assign(description=texts)

@@ -66,7 +66,7 @@ def base_columns(elements: DataFrame) -> DataFrame:
 
 def chunk_id(*parts: Column) -> Column:
     """A reproducible id from what identifies a chunk."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 224)
+    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
 def text_chunks(elements: DataFrame, most: int = X.MAX_WORDS, overlap: int = X.OVERLAP_WORDS) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyvane.functions import fixed as X
 from tallyvane.functions import text as T
+from tallyvane.session import checkpoint
 
 
 def rrf(lists: DataFrame, k: int = X.RRF_K) -> DataFrame:
@@ -43,13 +46,13 @@ def classified(questions: DataFrame, companies: list[str] | None = None) -> Data
     return q.withColumns({"w_dense": T.class_weight(F.col("query_class"), 0), "w_bm25": T.class_weight(F.col("query_class"), 1)})
 
 
-def hybrid(questions: DataFrame, dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int | None = X.TOP_K, boosts: bool = True, where: dict[str, object] | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int | None = X.TOP_K, boosts: bool = True, where: dict[str, object] | None = None, rrf_k: int = X.RRF_K) -> DataFrame:
     """(query_id, chunk_id, dense_rank, bm25_rank, wrrf_score, score, rank).
 
     questions carry query_class and weights (see `classified`). The metadata filter is applied to the candidate
     pool after its truncation, so it may leave fewer than k rows; comparison is by text and ignores case.
     """
-    c = wrrf(pool(dense, lexical).join(questions, "query_id"))
+    c = wrrf(pool(dense, lexical).join(questions, "query_id"), k=rrf_k)
     meta = chunks.select("chunk_id", "content", "section", "chunk_type", *[x for x in (where or {}) if x not in ("chunk_type", "section", "content")])
     c = c.join(meta, "chunk_id")
     if boosts:
@@ -66,9 +69,9 @@ def unclassified(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", "question").withColumns({"query_class": F.lit("factual"), "w_dense": F.lit(0.5), "w_bm25": F.lit(0.5)})
 
 
-def trace(questions: DataFrame, dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int = X.TOP_K) -> DataFrame:
+def trace(questions: DataFrame, dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int = X.TOP_K, rrf_k: int = X.RRF_K) -> DataFrame:
     """Like `hybrid` with the table boost only, keeping every candidate: final_rank is null beyond k."""
-    c = wrrf(pool(dense, lexical).join(questions, "query_id")).join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
+    c = wrrf(pool(dense, lexical).join(questions, "query_id"), k=rrf_k).join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
     c = c.withColumn("boosted_score", F.round(F.col("wrrf_score") + T.table_boost(F.col("query_class"), F.col("chunk_type")), 9))
     c = cut(c, None, "boosted_score")
     return c.select("query_id", "chunk_id", "dense_rank", "bm25_rank", "wrrf_score", "boosted_score", F.when(F.col("rank") <= k, F.col("rank")).alias("final_rank"))
@@ -90,22 +93,44 @@ def balanced(ranking: DataFrame, companies: DataFrame, k: int, per_company: int,
     return head.unionByName(more.select("query_id", "chunk_id", "ord", "rank"))
 
 
-def cross_company(questions: DataFrame, dense: DataFrame, lexical: DataFrame, companies: DataFrame, chunks: DataFrame, k: int = X.TOP_K, per_company: int = X.COMPANY_TOP_K, dense_k: int = X.TOP_K, bm25_k: int = X.TOP_K) -> DataFrame:
+def cross_company(questions: DataFrame, dense: DataFrame, lexical: DataFrame, companies: DataFrame, chunks: DataFrame, k: int = X.TOP_K, per_company: int = X.COMPANY_TOP_K, dense_k: int = X.TOP_K, bm25_k: int = X.TOP_K, rrf_k: int = X.RRF_K) -> DataFrame:
     """Company-balanced fusion with the table boost only; dense and lexical are deep rankings (see `balanced`)."""
     meta = chunks.select("chunk_id", F.col("company"), "chunk_type")
     d = balanced(dense.join(meta.select("chunk_id", "company"), "chunk_id"), companies, dense_k, per_company, dense_k)
     b = balanced(lexical.join(meta.select("chunk_id", "company"), "chunk_id"), companies, bm25_k, per_company, dense_k)
-    c = wrrf(pool(d, b).join(questions, "query_id")).join(meta.select("chunk_id", "chunk_type"), "chunk_id")
+    c = wrrf(pool(d, b).join(questions, "query_id"), k=rrf_k).join(meta.select("chunk_id", "chunk_type"), "chunk_id")
     c = c.withColumn("score", F.round(F.col("wrrf_score") + T.table_boost(F.lit("cross_company"), F.col("chunk_type")), 9))
     return cut(c, k).select("query_id", "chunk_id", "dense_rank", "bm25_rank", "wrrf_score", "score", "rank")
 
 
 def mentioned_companies(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(query_id, company, company_no, n_companies): companies whose name occurs in the question, ignoring case,
-    numbered in order of name. Name containment has no equi-key; the names are a manifest's distinct companies,
-    collected below a checked bound of 100,000 and matched inside one expression; beyond it an error is raised."""
-    names = [r[0] for r in companies.where(F.col("company").isNotNull()).select("company").distinct().orderBy("company").limit(100_001).collect()]
-    if len(names) > 100_000:
-        raise ValueError("more than 100,000 company names")
-    hit = questions.select("query_id", T.mentioned(F.col("question"), names).alias("names"))
-    return hit.select("query_id", F.size("names").alias("n_companies"), F.posexplode("names").alias("i", "company")).select("query_id", "company", (F.col("i") + 1).alias("company_no"), "n_companies")
+    numbered in order of name.
+
+    A name lies somewhere in the question, so it begins with one of the question's substrings of its first three
+    characters: names and questions meet by these (shorter names by themselves), and containment is then checked. No
+    name passes the driver, and there may be any number of them.
+    """
+    names = companies.where(F.col("company").isNotNull()).select("company").distinct().withColumn("low", F.lower("company")).where(F.length("low") > 0)
+    names = names.withColumn("g", F.substring("low", 1, 3))
+    q = questions.select("query_id", F.lower(F.coalesce("question", F.lit(""))).alias("q"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("q") - n + 1, F.lit(1))), lambda i: F.substr("q", i, F.lit(n)))
+    grams = q.select("query_id", "q", F.explode(F.array_distinct(F.concat(at(1), at(2), at(3)))).alias("g"))
+    hit = grams.join(names, "g").where(F.col("q").contains(F.col("low"))).select("query_id", "company").distinct()
+    w = W.partitionBy("query_id")
+    return hit.select("query_id", "company", F.row_number().over(w.orderBy("company")).cast("int").alias("company_no"), F.count(F.lit(1)).over(w).cast("int").alias("n_companies"))
+
+
+def adaptive(questions: DataFrame, companies: DataFrame, dense: Callable[[DataFrame, int], DataFrame], lexical: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, k: int = X.TOP_K, dense_k: int = X.TOP_K, bm25_k: int = X.TOP_K, where: dict[str, object] | None = None, names: list[str] | None = None, rrf_k: int = X.RRF_K) -> DataFrame:
+    """The adaptive entry: questions of the cross-company class that name two of `companies` or more are answered
+    company by company, all others by the classified hybrid. dense and lexical give the best n of questions."""
+    q = classified(questions, names)
+    named = checkpoint(mentioned_companies(q.where("query_class = 'cross_company'"), companies).where("n_companies >= 2"))
+    most = named.agg(F.max("n_companies")).first()[0]
+    if not most:
+        return hybrid(q, dense(q, dense_k), lexical(q, bm25_k), chunks, k, where=where, rrf_k=rrf_k)
+    ids = named.select("query_id").distinct()
+    many, few = q.join(ids, "query_id", "left_semi"), q.join(ids, "query_id", "left_anti")
+    deep = min(dense_k * most * 4, X.DEPTH_LIMIT)
+    x = cross_company(many, checkpoint(dense(many, deep)), checkpoint(lexical(many, deep)), named, chunks, k, dense_k=dense_k, bm25_k=bm25_k, rrf_k=rrf_k)
+    return hybrid(few, dense(few, dense_k), lexical(few, bm25_k), chunks, k, where=where, rrf_k=rrf_k).unionByName(x)

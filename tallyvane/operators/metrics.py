@@ -66,6 +66,13 @@ def cited_page(citation: Column) -> Column:
     return F.coalesce(F.nullif(worded, F.lit("")), F.nullif(first, F.lit(""))).cast("int")
 
 
+def citation_page(citation: Column) -> Column:
+    """The page of a citation given as text, as a whole number in text, or as JSON with page or page_number (whose
+    value is read the same way)."""
+    page = F.coalesce(F.get_json_object(citation, "$.page"), F.get_json_object(citation, "$.page_number"))
+    return F.when(F.trim(citation).startswith("{"), cited_page(page)).otherwise(cited_page(citation))
+
+
 def citation_accuracy(citations: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, accuracy): the share of citations(query_id, page) on an evidence page; 0 without either."""
     gold = questions.select("query_id", F.explode("evidence_pages").alias("page")).distinct().withColumn("ok", F.lit(1.0))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,12 +89,13 @@ def derivable(answers: DataFrame, evidence: DataFrame, tolerance: float = X.TOLE
     return hit.where((F.col("ao") != F.col("bo")) & (F.abs(change - F.abs("p")) / F.greatest(F.abs("p"), F.lit(1e-9)) <= tolerance)).select("answer_id", "num_ord").distinct()
 
 
-def verify(answers: DataFrame, evidence: DataFrame, tolerance: float = X.TOLERANCE) -> DataFrame:
+def verify(answers: DataFrame, evidence: DataFrame, tolerance: float = X.TOLERANCE, require_context: bool = True) -> DataFrame:
     """(answer_id, num_ord, value, status, closest, relative_diff) of each checked number: matched, mismatch,
     derived or unverifiable. Close values with consistent keywords match; close ones without are a mismatch with
-    the closest of them; a derivable percentage is derived; a nearest value under 50 % off is a mismatch."""
+    the closest of them; a derivable percentage is derived; a nearest value under 50 % off is a mismatch. Without
+    `require_context` keywords do not matter."""
     a = checked(answers).select("answer_id", F.col("num_ord").cast("int").alias("num_ord"), "value", "is_percent", "keywords")
-    close = close_pairs(a, evidence, tolerance).groupBy("answer_id", "num_ord").agg(F.max(consistent(F.col("keywords"), F.col("ev_keywords"))).alias("agrees"), F.min(F.struct(relative_difference(F.col("value"), F.col("ev_value")).alias("d"), F.col("ev_ord"), F.col("ev_value"))).alias("c"))
+    close = close_pairs(a, evidence, tolerance).groupBy("answer_id", "num_ord").agg(F.max(consistent(F.col("keywords"), F.col("ev_keywords")) | F.lit(not require_context)).alias("agrees"), F.min(F.struct(relative_difference(F.col("value"), F.col("ev_value")).alias("d"), F.col("ev_ord"), F.col("ev_value"))).alias("c"))
     der = derivable(a, evidence, tolerance).withColumn("der", F.lit(True))
     near = nearest(a, evidence)
     j = a.join(close, ["answer_id", "num_ord"], "left").join(der, ["answer_id", "num_ord"], "left").join(near, ["answer_id", "num_ord"], "left")
@@ -116,3 +118,22 @@ def report(answers: DataFrame, numbers: DataFrame, evidence: DataFrame, rows: Da
     j = j.withColumn("n_unverifiable", F.when(no_ev, F.col("n_numbers")).otherwise(F.col("n_unverifiable")))
     line = F.concat_ws("; ", *[F.when(F.col(f"n_{s}") > 0, F.format_string("%d " + s, F.col(f"n_{s}"))) for s in ("matched", "derived", "mismatch", "unverifiable")])
     return j.select("answer_id", "n_matched", "n_derived", "n_mismatch", "n_unverifiable", ((F.col("n_mismatch") == 0) & ~no_ev).alias("verified"), F.when(line == "", "no numbers").otherwise(line).alias("summary"))
+
+
+def mismatches(answers: DataFrame, evidence: DataFrame, rows: DataFrame, tolerance: float = X.TOLERANCE) -> DataFrame:
+    """(answer_id, num_ord, closest_evidence, relative_diff_pct, message) of each mismatch in `rows`, the result of
+    `verify` on the same inputs; answers carry `raw`, the number as printed. The difference is in percent to two
+    decimals. A value that is close but of another metric is told from one that is off (see the formats)."""
+    a = answers.select("answer_id", F.col("num_ord").cast("int").alias("num_ord"), "value", "raw", "keywords")
+    close = close_pairs(a, evidence, tolerance).groupBy("answer_id", "num_ord").agg(F.min_by("ev_keywords", "ev_ord").alias("ev_keywords"))
+    j = rows.where("status = 'mismatch'").select("answer_id", "num_ord", "closest", "relative_diff").join(a, ["answer_id", "num_ord"]).join(close, ["answer_id", "num_ord"], "left")
+
+    @F.pandas_udf("string")
+    def message(raw: pd.Series, value: pd.Series, closest: pd.Series, diff: pd.Series, mine: pd.Series, other: pd.Series) -> pd.Series:
+        words = lambda ks: sorted(str(k) for k in ks)
+        return pd.Series([
+            X.MISMATCH_METRIC.format(raw=r, closest=c, answer=words(m), evidence=words(o)) if o is not None else X.MISMATCH_VALUE.format(raw=r, value=v, closest=c, percent=d * 100)
+            for r, v, c, d, m, o in zip(raw, value, closest, diff, mine, other)
+        ])
+
+    return j.select("answer_id", "num_ord", F.col("closest").alias("closest_evidence"), F.round(F.col("relative_diff") * 100, 2).alias("relative_diff_pct"), message("raw", "value", "closest", "relative_diff", "keywords", "ev_keywords").alias("message"))

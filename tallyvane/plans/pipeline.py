@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyvane.functions import fixed as X
 from tallyvane.functions import numbers as N
 from tallyvane.functions import text as T
-from tallyvane.operators import answers, chunking, metrics, verify
+from tallyvane.operators import answers, chunking, metrics, models, verify
 from tallyvane.plans import retrieval as R
 from tallyvane.plans import sql as S
 from tallyvane.session import table
@@ -51,7 +51,7 @@ SQL["clean_tables"] = f"WITH {EL} SELECT element_id, len(grid) AS n_rows, array_
 
 def _lines(spark, d) -> DataFrame:
     e = _elements(spark, d).where("element_type = 'text' and content is not null")
-    return e.select("element_id", "document", "page", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line")).withColumn("seq", F.col("element_id") * 100000 + F.col("line_no")).withColumn("kind_order", F.lit(1))
+    return e.select("element_id", "document", "page", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line")).withColumn("kind_order", F.lit(1))
 
 
 LN = EL + r", ln AS (SELECT element_id, document, page, unnest(regexp_split_to_array(content, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(content, '\r?\n'), 1) - 1 AS line_no FROM el WHERE element_type = 'text' AND content IS NOT NULL)"
@@ -67,11 +67,12 @@ SQL["heading_flags"] = f"WITH {LN} SELECT element_id, line_no, {_HEAD} AS headin
 
 
 def section_carry(spark, d):
-    """The section in force at every line."""
-    return chunking.carry_sections(_lines(spark, d)).select("element_id", "line_no", "section")
+    """The section in force at every line, table and figure; a page's tables come before its text, figures after."""
+    e = _elements(spark, d).where("element_type in ('table', 'chart')").select("element_id", "document", "page", F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("line"), F.when(F.col("element_type") == "table", 0).otherwise(2).alias("kind_order"))
+    return chunking.carry_sections(_lines(spark, d).unionByName(e), order=("page", "kind_order", "element_id", "line_no")).select("element_id", "line_no", "section")
 
 
-SQL["section_carry"] = f"WITH {LN} SELECT element_id, line_no, last_value(CASE WHEN {_HEAD} THEN substr(trim(line), 1, {X.SECTION_MAX}) END IGNORE NULLS) OVER (PARTITION BY document ORDER BY page, element_id * 100000 + line_no ROWS UNBOUNDED PRECEDING) AS section FROM ln"
+SQL["section_carry"] = f"WITH {LN}, x AS (SELECT element_id, document, page, line, line_no, 1 AS ko FROM ln UNION ALL SELECT element_id, document, page, NULL, -1, CASE element_type WHEN 'table' THEN 0 ELSE 2 END FROM el WHERE element_type IN ('table', 'chart')) SELECT element_id, line_no, last_value(CASE WHEN {_HEAD} THEN substr(trim(line), 1, {X.SECTION_MAX}) END IGNORE NULLS) OVER (PARTITION BY document ORDER BY page, ko, element_id, line_no ROWS UNBOUNDED PRECEDING) AS section FROM x"
 
 
 def _boxes(spark, d, kind: str) -> DataFrame:
@@ -96,16 +97,21 @@ SQL["chart_regions"] = f"WITH {EL} SELECT element_id AS block_id FROM el WHERE e
 
 
 def caption_lookup(spark, d):
-    """Captions of tables and figures from text that begins in the strip above or below them."""
-    e = _elements(spark, d)
-    boxes = e.where("element_type in ('table', 'chart') and bbox is not null").select("element_id", "element_type", "document", "page", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
-    words = e.where("element_type = 'text' and bbox is not null and content is not null").select("document", "page", "bbox.x0", "bbox.y0", F.substring_index("content", " ", 1).alias("word"))
-    return chunking.captions(boxes, words)
+    """Captions of tables and figures from the words in the strip above or below them: the words of their own captions,
+    set there one after the other, and every other word of the page's text blocks along the block's first line."""
+    e = _elements(spark, d).where("bbox is not null")
+    boxes = e.where("element_type in ('table', 'chart')").select("element_id", "element_type", "caption", "document", "page", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    own = boxes.select("document", "page", "x0", F.when(F.col("element_type") == "table", F.col("y0") - 12).otherwise(F.col("y1") + 8).alias("y0"), F.posexplode(F.split("caption", " ")).alias("i", "word"))
+    text = e.where("element_type = 'text' and content is not null").select("document", "page", "bbox.x0", "bbox.y0", F.posexplode(F.split(F.substring_index("content", "\n", 1), " ")).alias("i", "word"))
+    words = own.select("document", "page", (F.col("x0") + F.col("i")).alias("x0"), "y0", "word").unionByName(text.select("document", "page", (F.col("x0") + 5 * F.col("i")).alias("x0"), "y0", "word"))
+    return chunking.captions(boxes.drop("caption"), words)
 
 
-SQL["caption_lookup"] = f"""WITH {EL}, b AS (SELECT element_id, document, page, bbox.x0 AS x0, bbox.x1 AS x1, CASE element_type WHEN 'table' THEN bbox.y0 - 30 ELSE bbox.y1 END AS lo, CASE element_type WHEN 'table' THEN bbox.y0 ELSE bbox.y1 + 40 END AS hi FROM el WHERE element_type IN ('table', 'chart') AND bbox IS NOT NULL),
-w AS (SELECT document, page, bbox.x0 AS wx, bbox.y0 AS wy, split_part(content, ' ', 1) AS word FROM el WHERE element_type = 'text' AND bbox IS NOT NULL AND content IS NOT NULL)
-SELECT element_id, string_agg(word, ' ' ORDER BY wy, wx, word) AS caption FROM b JOIN w USING (document, page) WHERE wy >= lo AND wy < hi AND wx >= x0 AND wx < x1 GROUP BY element_id HAVING length(string_agg(word, ' ')) BETWEEN 1 AND 199"""
+SQL["caption_lookup"] = f"""WITH {EL}, b AS (SELECT element_id, element_type, caption, document, page, bbox.x0 AS x0, bbox.x1 AS x1, bbox.y0 AS y0, bbox.y1 AS y1, CASE element_type WHEN 'table' THEN bbox.y0 - 30 ELSE bbox.y1 END AS lo, CASE element_type WHEN 'table' THEN bbox.y0 ELSE bbox.y1 + 40 END AS hi FROM el WHERE element_type IN ('table', 'chart') AND bbox IS NOT NULL),
+o AS (SELECT document, page, x0, CASE element_type WHEN 'table' THEN y0 - 12 ELSE y1 + 8 END AS y0, unnest(string_split(caption, ' ')) AS word, generate_subscripts(string_split(caption, ' '), 1) - 1 AS i FROM b WHERE caption IS NOT NULL),
+t AS (SELECT document, page, bbox.x0 AS x0, bbox.y0 AS y0, unnest(string_split(split_part(content, chr(10), 1), ' ')) AS word, generate_subscripts(string_split(split_part(content, chr(10), 1), ' '), 1) - 1 AS i FROM el WHERE element_type = 'text' AND bbox IS NOT NULL AND content IS NOT NULL),
+w AS (SELECT document, page, x0 + i AS wx, y0 AS wy, word FROM o UNION ALL SELECT document, page, x0 + 5 * i, y0, word FROM t)
+SELECT element_id, string_agg(word, ' ' ORDER BY wy, wx, word) AS caption FROM b JOIN w USING (document, page) WHERE wy >= lo AND wy < hi AND wx >= b.x0 AND wx < b.x1 GROUP BY element_id HAVING length(string_agg(word, ' ')) BETWEEN 1 AND 199"""
 
 
 def doc_yield(spark, d):
@@ -138,17 +144,24 @@ def _words(x: str) -> str:
 
 
 _EMPTY = "CAST([] AS VARCHAR[])"
-SQL["text_chunks"] = f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(text, '\n{{2,}}'), 1) AS pi FROM documents WHERE text IS NOT NULL),
-q AS (SELECT doc_id, pi, {_strip('p')} AS p FROM p WHERE {_strip('p')} <> ''),
-v AS (SELECT doc_id, pi, CASE WHEN len({_words('p')}) <= 100 THEN [p] ELSE regexp_split_to_array(regexp_replace(p, '([.!?]){X.WS}+', '\\1' || chr(1), 'g'), chr(1)) END AS us FROM q),
-w AS (SELECT doc_id, pi, unnest(us) AS unit, generate_subscripts(us, 1) AS si FROM v),
-u AS (SELECT doc_id, unit, len({_words('unit')}) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) AS i FROM w),
-r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS cur, CAST(0 AS BIGINT) AS have, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS emit FROM u
+
+
+def _pack_sql(source: str, most: int, overlap: int) -> str:
+    """CTEs ending in e(k, i, piece): the packed pieces of `source`, which gives k and t."""
+    return f"""p AS (SELECT k, unnest(regexp_split_to_array(t, '\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(t, '\n{{2,}}'), 1) AS pi FROM ({source}) WHERE t IS NOT NULL),
+q AS (SELECT k, pi, {_strip('p')} AS p FROM p WHERE {_strip('p')} <> ''),
+v AS (SELECT k, pi, CASE WHEN len({_words('p')}) <= {most} THEN [p] ELSE regexp_split_to_array(regexp_replace(p, '([.!?]){X.WS}+', '\\1' || chr(1), 'g'), chr(1)) END AS us FROM q),
+w AS (SELECT k, pi, unnest(us) AS unit, generate_subscripts(us, 1) AS si FROM v),
+u AS (SELECT k, unit, len({_words('unit')}) AS n, row_number() OVER (PARTITION BY k ORDER BY pi, si) AS i FROM w),
+r AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS cur, CAST(0 AS BIGINT) AS have, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS emit FROM u
 UNION ALL
-SELECT doc_id, i, CASE WHEN over AND nl IS NOT NULL THEN array_to_string(tail, ' ') || ' ' || unit WHEN cur IS NULL THEN unit ELSE cur || ' ' || unit END, CASE WHEN over AND nl IS NOT NULL THEN len(tail) ELSE have END + n, nl, emit
-FROM (SELECT *, list_slice({_words('nl')}, -16, -1) AS tail FROM (SELECT r.doc_id, u.i, u.unit, u.n, r.cur, r.have, r.have + u.n > 100 AS over, CASE WHEN r.have + u.n > 100 THEN r.cur END AS emit, CASE WHEN r.have + u.n > 100 AND r.cur IS NOT NULL THEN r.cur ELSE r.last END AS nl FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1))),
-e AS (SELECT doc_id, i, emit AS piece FROM r WHERE emit IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM r WHERE cur IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS piece_no, md5(piece) AS piece, length(piece) AS n FROM e WHERE {_strip('piece')} <> ''"""
+SELECT k, i, CASE WHEN over AND nl IS NOT NULL THEN array_to_string(tail, ' ') || ' ' || unit WHEN cur IS NULL THEN unit ELSE cur || ' ' || unit END, CASE WHEN over AND nl IS NOT NULL THEN len(tail) ELSE have END + n, nl, emit
+FROM (SELECT *, list_slice({_words('nl')}, -{overlap}, -1) AS tail FROM (SELECT r.k, u.i, u.unit, u.n, r.cur, r.have, r.have + u.n > {most} AS over, CASE WHEN r.have + u.n > {most} THEN r.cur END AS emit, CASE WHEN r.have + u.n > {most} AND r.cur IS NOT NULL THEN r.cur ELSE r.last END AS nl FROM r JOIN u ON u.k = r.k AND u.i = r.i + 1))),
+e AS (SELECT k, i, emit AS piece FROM r WHERE emit IS NOT NULL UNION ALL SELECT k, i + 1, cur FROM r WHERE cur IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1)"""
+
+
+SQL["text_chunks"] = f"""WITH RECURSIVE {_pack_sql('SELECT doc_id AS k, text AS t FROM documents', 100, 16)}
+SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS piece_no, md5(piece) AS piece, length(piece) AS n FROM e WHERE {_strip('piece')} <> ''"""
 
 
 def table_to_text(spark, d):
@@ -197,6 +210,19 @@ def chunk_elements(spark, d):
     return c.select("chunk_id", "element_id", "part", "chunk_type", F.length("content").alias("n"))
 
 
+_SHEAD = "'[' || coalesce(company, '') || ' | ' || coalesce(document, '') || ' | Page ' || coalesce(page, 0) || CASE WHEN coalesce(section, '') <> '' THEN ' | ' || section ELSE '' END || ']'"
+SQL["chunk_elements"] = f"""WITH RECURSIVE {EL}, {_pack_sql("SELECT element_id AS k, content AS t FROM el WHERE element_type = 'text'", X.MAX_WORDS, X.OVERLAP_WORDS)},
+tx AS (SELECT k AS element_id, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS part, piece FROM e WHERE {_strip('piece')} <> ''),
+tc AS (SELECT element_id, part, 'text' AS chunk_type, {_SHEAD} || chr(10) || piece AS content FROM tx JOIN el USING (element_id)),
+t AS (SELECT element_id, {_THEAD} AS head, coalesce(section, '') AS section, coalesce(caption, '') AS caption, grid FROM el WHERE element_type = 'table' AND len(grid) > 0),
+ww AS (SELECT *, head || chr(10) || {_table_text_sql('grid', 'caption', 'section')} AS whole FROM t), nn AS (SELECT *, len(regexp_split_to_array(trim(regexp_replace(whole, '\\s+', ' ', 'g')), ' ')) AS words FROM ww),
+g AS (SELECT *, unnest(range(CAST(ceil((len(grid) - 1) / {X.ROW_GROUP}e0) AS BIGINT))) AS part FROM nn WHERE words > {X.TABLE_MAX_WORDS} AND len(grid) > 1),
+s AS (SELECT *, list_concat(grid[1:1], grid[part * {X.ROW_GROUP} + 2 : part * {X.ROW_GROUP} + {X.ROW_GROUP} + 1]) AS sub FROM g), l AS (SELECT *, ' (rows ' || (part * {X.ROW_GROUP} + 1) || '{X.EN_DASH}' || (part * {X.ROW_GROUP} + len(sub) - 1) || ')' AS label FROM s),
+tb AS (SELECT element_id, 0 AS part, 'table' AS chunk_type, whole AS content FROM nn WHERE words <= {X.TABLE_MAX_WORDS} UNION ALL SELECT element_id, part, 'table', head || label || chr(10) || {_table_text_sql('sub', '(caption || label)', 'section')} FROM l),
+ch AS (SELECT element_id, 0 AS part, 'chart' AS chunk_type, content FROM ({SQL['chart_chunks'].replace('WITH ' + EL + ', c AS', 'WITH c AS')}))
+SELECT sha256(coalesce(document, '') || '|' || element_id || '|' || part) AS chunk_id, element_id, CAST(part AS BIGINT) AS part, chunk_type, length(content) AS n FROM (SELECT * FROM tc UNION ALL SELECT * FROM tb UNION ALL SELECT * FROM ch) JOIN (SELECT element_id, document FROM el) USING (element_id) WHERE length(content) >= {X.MIN_CHARS}"""
+
+
 def describe_charts(spark, d):
     """Figures described by a stand-in model from their caption."""
     e = table(spark, d, "raw_elements").dropDuplicates(["element_id"]).where("element_type = 'chart'").drop("bbox", "ingested_at", "grid")
@@ -395,6 +421,78 @@ def evaluate_configs(spark, d):
     return m.join(F.broadcast(ab)).join(F.broadcast(ca))  # one row each
 
 
+_METS = ", ".join(f"round(avg({m}_{k}), 4) AS {m}_{k}" for k in X.METRIC_KS for m in ("recall", "precision", "ndcg"))
+SQL["evaluate_configs"] = f"""WITH {R._hybrid_sql(R.CLASSED, True)}, {R.RERANKED}, {R._UNWEIGHTED}, {R.GOLD}, {R.FIVE}, {R._metrics_sql('five', 'config')},
+ab AS (SELECT NOT EXISTS (SELECT 1 FROM rr WHERE rr.query_id = item_id AND score >= 0.5e0) AS a FROM benchmark_items WHERE NOT in_scope),
+evd AS (SELECT h.query_id, h.rank, c.company, c.page FROM hyb h JOIN chunks c USING (chunk_id) WHERE h.rank <= 5),
+cit AS (SELECT query_id, rank, upper(company) AS company, page FROM evd UNION ALL SELECT query_id, rank, company, page + 1 FROM evd),
+ca AS (SELECT round(CASE WHEN len(evidence_pages) > 0 THEN coalesce((SELECT avg(CASE WHEN list_contains(evidence_pages, page) THEN 1e0 ELSE 0e0 END) FROM cit WHERE query_id = item_id), 0e0) ELSE 0e0 END, 6) AS accuracy FROM benchmark_items)
+SELECT config, {_METS}, round(avg(mrr), 4) AS mrr, (SELECT coalesce(round(avg(CASE WHEN a THEN 1e0 ELSE 0e0 END), 6), 0e0) FROM ab) AS abstention_accuracy, (SELECT round(avg(accuracy), 4) FROM ca) AS citation_accuracy FROM met GROUP BY config"""
+
+
+def verify_messages(spark, d):
+    """What is said of every mismatch, and its difference in percent."""
+    a, e = _statements(spark, d)
+    a = a.withColumn("raw", F.concat(F.lit("#"), F.col("num_ord").cast("string")))
+    m = verify.mismatches(a, e, verify.verify(a, e))
+    return m.withColumn("closest_evidence", F.round("closest_evidence", 4))
+
+
+_SHOWN = lambda k: f"CASE WHEN len({k}) = 0 THEN '[]' ELSE '[' || chr(39) || array_to_string(list_sort({k}), chr(39) || ', ' || chr(39)) || chr(39) || ']' END"
+SQL["verify_messages"] = f"""WITH {VERIFIED}, fk AS (SELECT answer_id, num_ord, arg_min(ev_keywords, ev_ord) AS ek FROM pr WHERE d <= {X.TOLERANCE} AND ev_value <> 0 GROUP BY ALL)
+SELECT st.answer_id, st.num_ord, round(cv, 4) AS closest_evidence, round(cd * 100, 2) AS relative_diff_pct,
+CASE WHEN ek IS NOT NULL THEN '#' || st.num_ord || ' matches evidence value ' || format('{{:.4g}}', cv) || ' numerically but metric context differs (answer: ' || {_SHOWN('an.keywords')} || ', evidence: ' || {_SHOWN('ek')} || '). Possible metric substitution.'
+ELSE 'Answer states #' || st.num_ord || ' (\u2248' || format('{{:.4g}}', st.value) || ') but closest evidence value is ' || format('{{:.4g}}', cv) || ' (' || format('{{:.1f}}', cd * 100) || '% difference).' END AS message
+FROM st JOIN an ON an.answer_id = st.answer_id AND an.num_ord = st.num_ord LEFT JOIN fk ON fk.answer_id = st.answer_id AND fk.num_ord = st.num_ord WHERE status = 'mismatch'"""
+
+
+def verify_no_context(spark, d):
+    """Status of every checked number where keywords do not matter."""
+    v = verify.verify(*_statements(spark, d), require_context=False)
+    return v.select("answer_id", "num_ord", "status")
+
+
+SQL["verify_no_context"] = f"WITH {VERIFIED.replace('bool_or(len(keywords) = 0', 'bool_or(true OR len(keywords) = 0')} SELECT answer_id, num_ord, status FROM st"
+
+
+def judge_answers(spark, d):
+    """Faithfulness and correctness of the gold answers by the stand-in judge: the share of the answer's words in the
+    passage, and of the reference's words in the answer; the answer is the gold answer or, without one, the question."""
+    b = table(spark, d, "benchmark_items").select(F.col("item_id").alias("query_id"), "question", F.coalesce("gold_answer", "question").alias("answer"), F.array("text").alias("evidence"), "gold_answer")
+    j = models.judge_answers(b)
+    return j.select("query_id", F.round("faithfulness", 6).alias("faithfulness"), F.round("answer_correctness", 6).alias("answer_correctness"), "calls")
+
+
+_BAG = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
+_PART = lambda a, b: f"CASE WHEN len({_BAG(a)}) = 0 THEN 0e0 ELSE round(len(list_intersect({_BAG(a)}, {_BAG(b)})) / CAST(len({_BAG(a)}) AS DOUBLE), 6) END"
+SQL["judge_answers"] = f"SELECT item_id AS query_id, {_PART('coalesce(gold_answer, question)', 'text')} AS faithfulness, CASE WHEN gold_answer IS NOT NULL THEN {_PART('gold_answer', 'gold_answer')} END AS answer_correctness, 1 + CAST(gold_answer IS NOT NULL AS BIGINT) AS calls FROM benchmark_items"
+
+
+def display_answers(spark, d):
+    """Answers as shown: two citations of each item's first page (one repeated), a warning for every third item."""
+    b = table(spark, d, "benchmark_items")
+    page = F.get("evidence_pages", F.lit(0))
+    cite = F.struct(F.col("company"), F.lit("Report").alias("document"), page.alias("page"), F.when(F.col("item_id") % 2 == 0, F.lit("Notes")).alias("section"), F.lit("").alias("quote"))
+    r = b.select(F.col("item_id").alias("query_id"), F.coalesce("gold_answer", F.lit("")).alias("answer"), F.array(cite, cite).alias("citations"), F.lit("high").alias("confidence"))
+    w = b.where("item_id % 3 = 0").select(F.col("item_id").alias("query_id"), F.lit(0).alias("num_ord"), F.concat(F.lit("check "), F.col("item_id").cast("string")).alias("message"))
+    return answers.display(r, w)
+
+
+SQL["display_answers"] = f"""SELECT item_id AS query_id, coalesce(gold_answer, '') || chr(10) || chr(10) || '{X.SOURCES}' || chr(10) || '{X.BULLET}' || coalesce(company, 'Unknown') || ' \u2014 Report | Page ' || coalesce(CAST(evidence_pages[1] AS VARCHAR), '?') || CASE WHEN item_id % 2 = 0 THEN ' | Notes' ELSE '' END
+|| CASE WHEN item_id % 3 = 0 THEN chr(10) || chr(10) || '{X.WARNINGS}' || chr(10) || '{X.BULLET}' || 'check ' || item_id ELSE '' END || chr(10) || chr(10) || '*Confidence: high*' AS shown FROM benchmark_items"""
+
+
+def citation_pages(spark, d):
+    """Pages of citations given as JSON with page or page_number, as a number or as text, by item."""
+    b = table(spark, d, "benchmark_items").withColumn("p", F.coalesce(F.get("evidence_pages", F.lit(0)), F.lit(7)))
+    p = F.col("p").cast("string")
+    c = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit('{"page": '), p, F.lit("}"))).when(F.col("item_id") % 4 == 1, F.concat(F.lit('{"page_number": "p. '), p, F.lit('"}'))).when(F.col("item_id") % 4 == 2, p).otherwise(F.concat(F.lit("10-K 2020, page "), p))
+    return b.select("item_id", metrics.citation_page(c).alias("page"))
+
+
+SQL["citation_pages"] = "SELECT item_id, coalesce(evidence_pages[1], 7) AS page FROM benchmark_items"
+
+
 def event_windows(spark, d):
     """Hourly counts of events by type (batch form of the streaming operator)."""
     from tallyvane.streaming.incremental import windowed_counts

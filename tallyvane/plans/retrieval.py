@@ -300,6 +300,31 @@ SQL["cross_company_topk"] = f"""WITH {PAIRS}, {MENTIONED}, {_CROSS},
 sc AS (SELECT p.*, {S.wrrf('0.5e0', '0.5e0')} AS wrrf_score, round({S.wrrf('0.5e0', '0.5e0')} + CASE WHEN chunk_type = 'table' THEN {X.TABLE_BOOST}e0 ELSE 0e0 END, 9) AS score FROM ({S.pool('bd', 'bl')}) p JOIN (SELECT chunk_id, chunk_type FROM chunks) USING (chunk_id))
 SELECT query_id, chunk_id, dense_rank, bm25_rank, wrrf_score, score, {S.cut()} AS rank FROM sc QUALIFY rank <= {X.TOP_K}"""
 
+def adaptive_topk(spark, d):
+    """The adaptive entry over the benchmark questions and those that name two companies (numbered from -1 down): a
+    cross-company question that names two companies or more takes the company-balanced way, all others the hybrid."""
+    q = _questions(spark, d).select("query_id", "question").unionByName(_pair_questions(spark, d).select((-F.col("query_id")).alias("query_id"), "question"))
+    return fusion.adaptive(q, table(spark, d, "manifest"), lambda x, k: dense.search(_encoded(x), _vectors(spark, d), k), lambda x, k: bm25.search(x.select("query_id", F.col("question").alias("query")), _index(spark, d), k), _chunks(spark, d))
+
+
+_ALL = "aq AS (SELECT item_id AS query_id, question FROM benchmark_items UNION ALL SELECT -query_id, question FROM pq)"
+_NAMED = "mn AS (SELECT query_id, company, row_number() OVER (PARTITION BY query_id ORDER BY company) AS company_no, count(*) OVER (PARTITION BY query_id) AS n_companies FROM aq JOIN (SELECT DISTINCT company FROM manifest WHERE company IS NOT NULL) ON contains(lower(question), lower(company)))"
+SQL["adaptive_topk"] = f"""WITH {PAIRS}, {_ALL}, {_NAMED},
+ac AS (SELECT query_id, question, {S.query_class('question', S.named_pair('question'))} AS query_class FROM aq),
+qx AS (SELECT *, query_class = 'cross_company' AND query_id IN (SELECT query_id FROM mn WHERE n_companies >= 2) AS crossed FROM ac),
+mc AS (SELECT * FROM mn WHERE query_id IN (SELECT query_id FROM qx WHERE crossed)),
+qs AS (SELECT query_id, question, query_class, {S.weight('query_class', 0)} AS w_dense, {S.weight('query_class', 1)} AS w_bm25 FROM qx WHERE NOT crossed),
+{C_VECS}, {S.vectors(f"SELECT query_id AS id, '{X.QUERY_PREFIX}' || coalesce(question, '') AS t FROM aq", 'av')},
+{S.dense(C_VEC, 'SELECT id AS query_id, embedding FROM av', None, 'da')}, {S.bm25(CORPUS, 'SELECT query_id, question AS query FROM aq', None, 'la')},
+den AS (SELECT * FROM da WHERE rank <= {X.TOP_K} AND query_id IN (SELECT query_id FROM qs)), lex AS (SELECT * FROM la WHERE rank <= {X.TOP_K} AND query_id IN (SELECT query_id FROM qs)),
+cand AS (SELECT p.*, question, query_class, {S.wrrf()} AS w FROM ({S.pool()}) p JOIN qs USING (query_id)),
+s1 AS (SELECT cand.*, round(w + {S.table_boost()} + {S.domain_boost()}, 9) AS score FROM cand JOIN chunks c USING (chunk_id)),
+dp AS (SELECT * FROM da WHERE query_id IN (SELECT query_id FROM qx WHERE crossed)), lp AS (SELECT * FROM la WHERE query_id IN (SELECT query_id FROM qx WHERE crossed)),
+{_balanced_sql('dp', 'bd')}, {_balanced_sql('lp', 'bl')},
+s2 AS (SELECT p.*, {S.wrrf('0.5e0', '0.5e0')} AS w, round({S.wrrf('0.5e0', '0.5e0')} + CASE WHEN chunk_type = 'table' THEN {X.TABLE_BOOST}e0 ELSE 0e0 END, 9) AS score FROM ({S.pool('bd', 'bl')}) p JOIN (SELECT chunk_id, chunk_type FROM chunks) USING (chunk_id)),
+sx AS (SELECT query_id, chunk_id, dense_rank, bm25_rank, w, score FROM s1 UNION ALL SELECT query_id, chunk_id, dense_rank, bm25_rank, w, score FROM s2)
+SELECT query_id, chunk_id, dense_rank, bm25_rank, w AS wrrf_score, score, {S.cut()} AS rank FROM sx QUALIFY rank <= {X.TOP_K}"""
+
 QUERY_TEXTS = [
     "Which company had the highest margin?", "Compare revenue of Tesla and Apple", "How do Microsoft and Nvidia differ?", "Q1 2023 vs Q1 2022", "How did growth change compared with last year?",
     "How much cash was on hand?", "What was total revenue in FY2023?", "What is the percentage?", "Plot the trend of deliveries over time", "How have sales evolved?", "Who chairs the audit committee?", "year over year", "Total net income of $4.2 billion", "", "   Which figure is it?  ",
@@ -379,8 +404,8 @@ def ablation_summary(spark, d):
 LEXSCORE = f"round(1e0 / (1e0 + exp(-(8e0 * len(list_intersect(list_distinct({S.tokens('question')}), list_distinct({S.tokens('c.content')}))) / greatest(len(list_distinct({S.tokens('question')})), 1) - 4e0))), 9)"
 RERANKED = f"rr AS (SELECT query_id, chunk_id, before, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM (SELECT query_id, chunk_id, h.rank AS before, {LEXSCORE} AS score FROM hyb h JOIN qs USING (query_id) JOIN chunks c USING (chunk_id)) QUALIFY rank <= {X.RERANK_TOP_K})"
 _UNWEIGHTED = f"hu AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST) AS rank FROM (SELECT *, {S.wrrf('0.5e0', '0.5e0')} AS w FROM ({S.pool()})) QUALIFY rank <= {X.TOP_K})"
-SQL["ablation_summary"] = f"""WITH {_hybrid_sql(CLASSED, True)}, {RERANKED}, {_UNWEIGHTED}, {GOLD},
-five AS (SELECT 'dense' AS config, query_id, chunk_id, rank FROM den UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM lex UNION ALL SELECT 'unweighted', query_id, chunk_id, rank FROM hu UNION ALL SELECT 'weighted', query_id, chunk_id, rank FROM hyb UNION ALL SELECT 'reranked', query_id, chunk_id, rank FROM rr),
+FIVE = """five AS (SELECT 'dense' AS config, query_id, chunk_id, rank FROM den UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM lex UNION ALL SELECT 'unweighted', query_id, chunk_id, rank FROM hu UNION ALL SELECT 'weighted', query_id, chunk_id, rank FROM hyb UNION ALL SELECT 'reranked', query_id, chunk_id, rank FROM rr)"""
+SQL["ablation_summary"] = f"""WITH {_hybrid_sql(CLASSED, True)}, {RERANKED}, {_UNWEIGHTED}, {GOLD}, {FIVE},
 {_metrics_sql('five', 'config')} SELECT config, {', '.join(f'round(avg({m}_{k}), 4) AS {m}_{k}' for k in X.METRIC_KS for m in ('recall', 'precision', 'ndcg'))}, round(avg(mrr), 4) AS mrr FROM met GROUP BY config"""
 
 
