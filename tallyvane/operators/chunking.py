@@ -135,10 +135,12 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, cell: float = 200.0) ->
 
 def captions(elements: DataFrame, words: DataFrame, above: float = 30.0, below: float = 40.0) -> DataFrame:
     """(element_id, caption): words in the strip above a table or below a figure, in reading order; only captions
-    of 1 to 199 characters count."""
+    of 1 to 199 characters count. Strips and words meet by page and horizontal bands of `above + below` points."""
     e = elements.select("element_id", "document", "page", "x0", "x1", F.when(F.col("element_type") == "table", F.col("y0") - above).otherwise(F.col("y1")).alias("lo"), F.when(F.col("element_type") == "table", F.col("y0")).otherwise(F.col("y1") + below).alias("hi"))
-    w = words.select("document", "page", F.col("x0").alias("wx"), F.col("y0").alias("wy"), "word")
-    hit = e.join(w, ["document", "page"]).where("wy >= lo and wy < hi and wx >= x0 and wx < x1")
+    band = lambda c: F.floor(F.col(c) / (above + below))
+    e = e.where("lo is not null and hi is not null").withColumn("band", F.explode(F.sequence(band("lo"), F.greatest(band("hi"), band("lo")))))
+    w = words.where("y0 is not null").select("document", "page", F.col("x0").alias("wx"), F.col("y0").alias("wy"), "word", band("y0").alias("band"))
+    hit = e.join(w, ["document", "page", "band"]).where("wy >= lo and wy < hi and wx >= x0 and wx < x1")
     c = hit.groupBy("element_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wy", "wx", "word"))), lambda s: s["word"]), " ").alias("caption"))
     return c.where("length(caption) > 0 and length(caption) < 200")
 
@@ -148,6 +150,27 @@ def large_regions(regions: DataFrame, least: float = X.MIN_AREA) -> DataFrame:
     return regions.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / F.col("page_area") >= least)
 
 
+def layout(elements: DataFrame) -> DataFrame:
+    """Parsed elements (see `sources.elements`) as they go into chunks.
+
+    Text blocks under ten characters or over a table of their page go, and figures under two percent of the page;
+    tables and figures without a caption get the words above or below them; every element gets the section in force,
+    tables that of the pages before, unless it states its own. `word` rows serve the captions only.
+    """
+    e = elements.withColumn("block_id", F.xxhash64("document", "page", "seq"))
+    box = ["block_id", "document", "page", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"]
+    text = outside_tables(e.where((F.col("element_type") == "text") & (F.length(F.trim("content")) >= X.MIN_BLOCK)).select("*", "bbox.*"), e.where("element_type = 'table'").select(*box)).select(*e.columns)
+    charts = e.where("element_type = 'chart'").select("*", "bbox.*")
+    charts = large_regions(charts.where("x0 is not null and page_area > 0")).select(*e.columns).unionByName(charts.where("x0 is null or page_area is null or page_area <= 0").select(*e.columns))
+    kept = e.where("element_type = 'table'").unionByName(text).unionByName(charts)
+    words = e.where("element_type = 'word' and bbox is not null").select("document", "page", "bbox.x0", "bbox.y0", F.col("content").alias("word"))
+    named = captions(kept.where("element_type <> 'text' and bbox is not null").select(F.col("block_id").alias("element_id"), "element_type", *box[1:]), words)
+    kept = kept.join(named.select(F.col("element_id").alias("block_id"), F.col("caption").alias("__found")), "block_id", "left").withColumn("caption", F.coalesce(F.nullif("caption", F.lit("")), "__found")).drop("__found")
+    kind = F.when(F.col("element_type") == "table", 0).when(F.col("element_type") == "text", 1).otherwise(2)
+    lined = kept.withColumns({"kind_order": kind, "__own": F.col("section"), "line": F.when(F.col("element_type") == "text", F.substring_index(F.ltrim("content"), "\n", 1))})
+    return carry_sections(lined, order=("page", "kind_order", "seq")).withColumn("section", F.coalesce(F.nullif("__own", F.lit("")), "section")).drop("kind_order", "line", "__own", "block_id")
+
+
 def document_yield(manifest: DataFrame, elements: DataFrame) -> DataFrame:
     """(document, n, verdict) of each manifest document: error without elements, warning below 10, else ok."""
     n = elements.groupBy("document").agg(F.count(F.lit(1)).alias("n"))

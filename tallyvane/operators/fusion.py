@@ -46,6 +46,27 @@ def classified(questions: DataFrame, companies: list[str] | None = None) -> Data
     return q.withColumns({"w_dense": T.class_weight(F.col("query_class"), 0), "w_bm25": T.class_weight(F.col("query_class"), 1)})
 
 
+def classified_by_names(questions: DataFrame, companies: DataFrame, near: int = 80) -> DataFrame:
+    """`classified` with the names of a table: two different companies named within `near` characters of each other
+    make a cross-company question. With no name in the table the default names are used. Names and
+    questions meet by join (see `mentioned_companies`), so there may be any number of names."""
+    if companies.where(F.col("company").isNotNull()).select("company").limit(1).count() == 0:
+        return classified(questions)
+    named = mentioned_companies(questions, companies).where("n_companies >= 2")
+    low = questions.select("query_id", F.lower(F.trim(F.coalesce("question", F.lit("")))).alias("q"))
+    at = named.join(low, "query_id").withColumn("n", F.lower("company"))
+    # every place where a name stands; two names are near if one begins at most `near` characters behind another's end
+    spots = at.select("query_id", "n", F.explode(F.filter(F.sequence(F.lit(1), F.length("q")), lambda i: F.substr("q", i, F.length("n")) == F.col("n"))).alias("i")).withColumn("e", F.col("i") + F.length("n"))
+    # a question's own places: bounded by its length
+    ends = spots.groupBy("query_id").agg(F.collect_set(F.struct("n", "e")).alias("ends"))
+    pair = spots.join(ends, "query_id").where(F.exists("ends", lambda x: (x["n"] != F.col("n")) & (x["e"] <= F.col("i")) & (F.col("i") - x["e"] <= near))).select("query_id").distinct().withColumn("pair", F.lit(True))
+    q = questions.select("query_id", "question").join(pair, "query_id", "left")
+    kind = T.query_class(F.col("question"), [""])
+    kind = F.when(F.col("pair"), "cross_company").otherwise(kind)
+    q = q.withColumn("query_class", kind).drop("pair")
+    return q.withColumns({"w_dense": T.class_weight(F.col("query_class"), 0), "w_bm25": T.class_weight(F.col("query_class"), 1)})
+
+
 def hybrid(questions: DataFrame, dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int | None = X.TOP_K, boosts: bool = True, where: dict[str, object] | None = None, rrf_k: int = X.RRF_K) -> DataFrame:
     """(query_id, chunk_id, dense_rank, bm25_rank, wrrf_score, score, rank).
 
@@ -121,10 +142,10 @@ def mentioned_companies(questions: DataFrame, companies: DataFrame) -> DataFrame
     return hit.select("query_id", "company", F.row_number().over(w.orderBy("company")).cast("int").alias("company_no"), F.count(F.lit(1)).over(w).cast("int").alias("n_companies"))
 
 
-def adaptive(questions: DataFrame, companies: DataFrame, dense: Callable[[DataFrame, int], DataFrame], lexical: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, k: int = X.TOP_K, dense_k: int = X.TOP_K, bm25_k: int = X.TOP_K, where: dict[str, object] | None = None, names: list[str] | None = None, rrf_k: int = X.RRF_K) -> DataFrame:
+def adaptive(questions: DataFrame, companies: DataFrame, dense: Callable[[DataFrame, int], DataFrame], lexical: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, k: int = X.TOP_K, dense_k: int = X.TOP_K, bm25_k: int = X.TOP_K, where: dict[str, object] | None = None, classify: Callable[[DataFrame], DataFrame] | None = None, rrf_k: int = X.RRF_K) -> DataFrame:
     """The adaptive entry: questions of the cross-company class that name two of `companies` or more are answered
     company by company, all others by the classified hybrid. dense and lexical give the best n of questions."""
-    q = classified(questions, names)
+    q = (classify or classified)(questions)
     named = checkpoint(mentioned_companies(q.where("query_class = 'cross_company'"), companies).where("n_companies >= 2"))
     most = named.agg(F.max("n_companies")).first()[0]
     if not most:

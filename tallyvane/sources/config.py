@@ -28,6 +28,7 @@ class Config:
     bm25_b: float = X.BM25_B
     evidence_threshold: float = 0.0
     tolerance: float = X.TOLERANCE
+    require_context: bool = True
     data_dir: str = "data"
     documents: tuple[dict[str, Any], ...] = field(default=())
 
@@ -36,7 +37,7 @@ class Config:
 _PATHS = {
     "text_max_words": ("chunking", "text", "max_tokens"), "text_overlap_words": ("chunking", "text", "overlap_tokens"), "table_max_words": ("chunking", "table", "max_tokens"),
     "dense_top_k": ("retrieval", "dense_top_k"), "bm25_top_k": ("retrieval", "bm25_top_k"), "rrf_k": ("retrieval", "rrf_k"), "rerank_top_k": ("reranker", "top_k"),
-    "bm25_k1": ("bm25", "k1"), "bm25_b": ("bm25", "b"), "evidence_threshold": ("generation", "evidence_threshold"), "data_dir": ("paths", "data_dir"),
+    "bm25_k1": ("bm25", "k1"), "bm25_b": ("bm25", "b"), "evidence_threshold": ("generation", "evidence_threshold"), "data_dir": ("paths", "data_dir"), "require_context": ("verification", "require_context"),
 }
 
 

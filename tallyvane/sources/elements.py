@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 ELEMENT = (
     "element_type string, content string, grid array<array<string>>, image_path string, page int, company string, document string, year int, section string, caption string, description string, "
-    "bbox struct<x0: double, y0: double, x1: double, y1: double>"
+    "bbox struct<x0: double, y0: double, x1: double, y1: double>, page_area double, seq int"
 )
 CHUNK = "chunk_id string, chunk_type string, content string, company string, document string, year int, page int, section string, caption string, raw_table array<array<string>>"
-_NAMES = [c.strip().split(" ", 1)[0] for c in ELEMENT.split(", ") if not c.startswith(("y0", "x1", "y1"))]
+_NAMES = [c.strip().split(" ", 1)[0] for c in ELEMENT.split(", ") if not c.startswith(("y0:", "x1:", "y1:"))]
 
 
 class PageParser(Protocol):
-    """Yields a file's elements page by page (tables, then text, then figures) as dicts of ELEMENT's fields."""
+    """Yields a file's elements page by page (tables, then text, then figures) as dicts of ELEMENT's fields, and `word`
+    rows for captions if it knows where words stand."""
 
     def __call__(self, content: bytes) -> Iterable[dict]: ...
 
@@ -42,6 +43,11 @@ def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(files.select("filename").distinct(), "filename", "left_anti")
 
 
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(filename) of the files below a folder, contents unread."""
+    return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"))
+
+
 def read_documents(spark: SparkSession, folder: str, manifest: DataFrame, parser: PageParser = plain_text_parser) -> DataFrame:
     """Elements of every manifest file below a folder; files are read and parsed where they lie, missing ones
     skipped (see `missing_files`)."""
@@ -52,8 +58,9 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame, parser
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                for e in parser(bytes(r.content)):
-                    rows.append([{"company": r.m_company, "year": r.m_year, "document": r.m_document}.get(n, e.get(n)) for n in _NAMES])
+                known = {"company": r.m_company, "year": r.m_year, "document": r.m_document}
+                for seq, e in enumerate(parser(bytes(r.content))):
+                    rows.append([known[n] if n in known else seq if n == "seq" else e.get(n) for n in _NAMES])
             yield pd.DataFrame(rows, columns=_NAMES)
 
     return files.join(meta, "filename").mapInPandas(run, ELEMENT)
