@@ -30,10 +30,10 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = X.TOP_K) -> DataFrame
     """(query_id, chunk_id, ord, score, rank): the best k of corpus(chunk_id, ord, embedding) for each of
     queries(query_id, embedding). Ties keep corpus order; null vectors are left out.
 
-    Query vectors are dealt to blocks of at most BLOCK_BYTES by their number; each block is one row, and the blocks meet
-    the corpus batches in one pass: the rows are joined to the corpus by broadcast when there is a single block (its
-    size is known), else by dealing every corpus batch to every block. Each meeting is one matrix product that keeps its
-    own best k per query, so k rows a query and batch are shuffled for the final ranking. No query passes the driver.
+    Query vectors are dealt to blocks of at most BLOCK_BYTES. A single block (its size is known) is broadcast and meets
+    every corpus batch; several blocks and the parts of the corpus meet by shuffle, each pair as one group, and no query
+    passes the driver. Each meeting is one matrix product that keeps its own best k per query, so k rows a query and
+    batch are shuffled for the final ranking. The rows are the same either way.
     """
     q = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("bigint"), "embedding")
     head = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
@@ -41,8 +41,11 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = X.TOP_K) -> DataFrame
     schema = "query_id bigint, chunk_id string, ord bigint, score double"
     blocks = max(1, -(-head.n * (head.d or 1) * 8 // BLOCK_BYTES))
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _best(left["query_id"].to_numpy(), np.stack(left["embedding"].to_numpy()).astype(np.float64), right, k) if len(left) and len(right) else pd.DataFrame({"query_id": [], "chunk_id": [], "ord": [], "score": []})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["query_id"].notna()], pdf[pdf["query_id"].isna()]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "chunk_id": pd.Series([], dtype="object"), "ord": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return _best(left["query_id"].to_numpy().astype(np.int64), np.stack(left["embedding"].to_numpy()).astype(np.float64), right, k)
 
     if blocks == 1:
         # one block: bounded by BLOCK_BYTES, so it may travel with the tasks
@@ -61,9 +64,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = X.TOP_K) -> DataFrame
     else:
         # many blocks: queries by block, the corpus by part; each (block, part) is a group of bounded size
         parts = max(1, c.rdd.getNumPartitions())
-        left = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = c.withColumn("p", F.pmod(F.xxhash64("ord"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(run, schema)
+        left = q.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("bigint").alias("ord"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
+        right = c.select(F.lit(None).cast("bigint").alias("query_id"), "chunk_id", "ord", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("ord"), F.lit(parts)).cast("int").alias("p"))
+        found = left.unionByName(right).groupBy("b", "p").applyInPandas(run, schema)
     return ranked(found.select("query_id", "chunk_id", "ord", F.round("score", 9).alias("score")), k)
 
 
@@ -75,7 +78,7 @@ def _best(ids: np.ndarray, m: np.ndarray, pdf: pd.DataFrame, k: int) -> pd.DataF
     best = np.argpartition(-s, n - 1, axis=1)[:, :n]
     low = np.take_along_axis(s, best, 1).min(axis=1)
     r, j = np.nonzero(s >= low[:, None])
-    return pd.DataFrame({"query_id": ids[r], "chunk_id": names[j], "ord": ords[j], "score": s[r, j]})
+    return pd.DataFrame({"query_id": ids[r], "chunk_id": pd.Series(names[j], dtype="object"), "ord": ords[j].astype(np.int64), "score": s[r, j]})
 
 
 def hashed_encoder(dim: int = X.ENCODER_DIM, prefix: str = "") -> Callable[[Column], Column]:
