@@ -25,6 +25,12 @@ def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", order
     texts = spread(chunks.select(F.col(key).alias("chunk_id"), F.col(order).cast("bigint").alias("ord"), F.col(text).alias("text")), "chunk_id")
     base = texts.select("chunk_id", "ord", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
     postings = checkpoint(base.select("chunk_id", "ord", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    return derived(postings, chunks)
+
+
+def derived(postings: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """The index tables of postings(term, chunk_id, ord, dl, tf); chunks gives the number of chunks, those without
+    tokens included."""
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all_tf"))
     stats = chunks.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("n", (F.col("all_tf") / F.col("n")).alias("avgdl"))  # one row each
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

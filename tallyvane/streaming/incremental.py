@@ -1,4 +1,8 @@
-"""New chunks as a stream: appended to the chunk and postings tables batch by batch; statistics stay derived."""
+"""New chunks as a stream: appended to the chunk and postings tables batch by batch; statistics stay derived.
+
+A chunk may come again in a later batch: its latest batch counts, and the postings of earlier ones are left out when the
+index is read. Texts are tokenised once, in their batch.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyvane.functions.text import tokens
-from tallyvane.operators.bm25 import index
+from tallyvane.operators.bm25 import derived
 
 
 def chunk_postings(chunks: DataFrame) -> DataFrame:
@@ -34,9 +38,18 @@ def ingest(spark: SparkSession, source: str, target: str, schema, checkpoint: st
 
 
 def current_index(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    """The lexical index over all batches; document frequencies and weights are recomputed views."""
+    """The lexical index over all batches, from the postings as written: document frequencies, weights and lengths are
+    views over them."""
+    owner = current_chunks(spark, target).select("chunk_id", "batch")
+    postings = spark.read.parquet(f"{target}/postings").join(owner, ["chunk_id", "batch"], "left_semi").drop("batch")
+    return derived(postings, owner)
+
+
+def current_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """Every chunk of all batches once, as its latest batch has it."""
     chunks = spark.read.parquet(f"{target}/chunks")
-    return index(chunks)
+    latest = chunks.groupBy("chunk_id").agg(F.max("batch").alias("batch"))
+    return chunks.join(latest, ["chunk_id", "batch"], "left_semi")
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", size: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -90,6 +90,11 @@ def test_streaming_ingest(spark, tmp_path):
     ix = incremental.current_index(spark, dst)
     assert {(r.term, r.chunk_id, r.tf) for r in ix["postings"].collect()} == {("tax", "a", 1), ("rate", "a", 1), ("tax", "b", 1)}
     assert spark.read.parquet(f"{dst}/postings").count() == 3
+    # a chunk that comes again in a later batch: the later one counts
+    spark.createDataFrame([("a", 0, "cash")], s).write.mode("append").parquet(src)
+    incremental.ingest(spark, src, dst, s, str(tmp_path / "cp")).awaitTermination()
+    ix = incremental.current_index(spark, dst)
+    assert {(r.term, r.chunk_id, r.tf) for r in ix["postings"].collect()} == {("cash", "a", 1), ("tax", "b", 1)} and ix["stats"].first().n == 2
 
 
 @pytest.mark.parametrize("skip", [True, False])
