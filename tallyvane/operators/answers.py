@@ -74,17 +74,30 @@ def valid_citations(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     return citations.withColumn("lc", F.lower(F.coalesce("company", F.lit("")))).join(pairs, ["query_id", "lc", "page"], "left_semi").drop("lc")
 
 
+def distinct_tokens(text: Column) -> Column:
+    return F.array_distinct(T.tokens(text))
+
+
+def token_overlap(q: Column, content: Column) -> Column:
+    """The share of the query's distinct tokens in the passage's, through a sigmoid."""
+    return T.sigmoid(8.0 * F.size(F.array_intersect(q, content)) / F.greatest(F.size(q), F.lit(1)) - 4.0)
+
+
 def lexical_score(query: Column, content: Column) -> Column:
-    """The offline stand-in for a pair scorer: the share of query tokens in the passage, through a sigmoid."""
-    q = F.array_distinct(T.tokens(query))
-    shared = F.size(F.array_intersect(q, T.tokens(content)))
-    return T.sigmoid(8.0 * shared / F.greatest(F.size(q), F.lit(1)) - 4.0)
+    """The offline stand-in for a pair scorer, on texts (see `token_overlap`)."""
+    return token_overlap(distinct_tokens(query), distinct_tokens(content))
 
 
 def rerank(ranking: DataFrame, questions: DataFrame, chunks: DataFrame, k: int = X.RERANK_TOP_K, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
-    """The best k of each query by the scorer; ties keep the earlier order."""
-    j = ranking.select("query_id", "chunk_id", F.col("rank").alias("before")).join(questions.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
-    j = j.withColumn("score", F.round(scorer(F.col("question"), F.col("content")), 9))
+    """The best k of each query by the scorer; ties keep the earlier order. For the lexical scorer each passage that is
+    ranked at all is tokenised once, not once a query."""
+    if scorer is lexical_score:
+        some = chunks.select("chunk_id", "content").join(ranking.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        left, right, score = questions.select("query_id", distinct_tokens(F.col("question")).alias("question")), some.select("chunk_id", distinct_tokens(F.col("content")).alias("content")), token_overlap
+    else:
+        left, right, score = questions.select("query_id", "question"), chunks.select("chunk_id", "content"), scorer
+    j = ranking.select("query_id", "chunk_id", F.col("rank").alias("before")).join(left, "query_id").join(right, "chunk_id")
+    j = j.withColumn("score", F.round(score(F.col("question"), F.col("content")), 9))
     return j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "before"))).where(F.col("rank") <= k).select("query_id", "chunk_id", "before", "score", "rank")
 
 
