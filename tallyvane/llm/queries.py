@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions.fixed import WS
@@ -32,6 +32,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_oversized(spark, d))
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per oversized item: whether its pieces cover it from end to end, keep the limit, and share exactly the overlap."""
+    big = _oversized(spark, d)
+    w = Window.partitionBy("record_kind", "record_id").orderBy("piece_no")
+    p = splitting.pieces(big).withColumn("prev", F.lag("end_char").over(w)).join(big.select("record_kind", "record_id", "size", "max_chars", "overlap_chars"), ["record_kind", "record_id"])
+    inside = (F.col("end_char") - F.col("start_char") <= F.col("max_chars")) & (F.col("end_char") > F.coalesce("prev", F.lit(0)))
+    shared = F.when(F.col("prev").isNull(), (F.col("piece_no") == 0) & (F.col("start_char") == 0)).otherwise(F.col("start_char") == F.col("prev") - F.col("overlap_chars"))
+    return p.groupBy("record_kind", "record_id").agg(F.bool_and(inside).alias("within"), F.bool_and(shared).alias("shared"), (F.max("end_char") == F.max("size")).alias("whole"), F.max("end_char").alias("size"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every line to remove."""
     return repeated.repeated_lines(table(spark, d, "raw_elements"), table(spark, d, "manifest"))
@@ -54,8 +64,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per text chunk: class of exact copies, group, links."""
-    return neardup.similar_groups(_texts(spark, d), threshold=0.7).withColumnRenamed("id", "chunk_id")
+    """One row per text chunk: class of exact copies, group, links; similarity is the weighted overlap of the bags of
+    5-character substrings, each with its number of occurrences."""
+    return neardup.similar_groups(_texts(spark, d), threshold=0.7, weighted=True).withColumnRenamed("id", "chunk_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +139,27 @@ SELECT DISTINCT element_id, CAST(line_no AS BIGINT) AS line_no
 FROM k JOIN c USING (company, key) JOIN n USING (company) WHERE c.n >= 4 AND c.n * 5 >= n.docs * 2
 """
 
+P2_COVERAGE_SQL = """
+WITH e AS (
+  SELECT element_id, element_type,
+    CASE WHEN element_type = 'text' THEN length(content)
+         ELSE length(array_to_string([array_to_string([coalesce(c, '') for c in r], ' | ') for r in grid], chr(10))) END AS size
+  FROM raw_elements WHERE element_type IN ('text', 'table')),
+s AS (SELECT DISTINCT 'chunk' AS record_kind, chunk_id AS record_id, length(content) AS size
+FROM chunks JOIN split_limits ON record_kind = 'chunk' AND item_type = chunk_type WHERE length(content) > max_chars
+UNION ALL
+SELECT DISTINCT 'element', CAST(element_id AS VARCHAR), size
+FROM e JOIN split_limits ON record_kind = 'element' AND item_type = element_type WHERE size > max_chars)
+SELECT record_kind, record_id, true AS within, true AS shared, true AS whole, size FROM s
+"""
+
+P3_CLEANED_SQL = rf"""
+WITH f AS ({P3_SQL}),
+el AS (SELECT element_id, any_value(document) AS document, any_value(content) AS content FROM raw_elements WHERE element_type = 'text' AND element_id IS NOT NULL GROUP BY element_id),
+l AS (SELECT element_id, unnest(regexp_split_to_array(content, '\r\n|\n')) AS line, generate_subscripts(regexp_split_to_array(content, '\r\n|\n'), 1) - 1 AS line_no FROM el WHERE content IS NOT NULL),
+k AS (SELECT element_id, string_agg(line, chr(10) ORDER BY line_no) AS kept FROM l ANTI JOIN f USING (element_id, line_no) GROUP BY element_id)
+SELECT element_id, document, CASE WHEN element_id IN (SELECT element_id FROM f) THEN coalesce(kept, '') ELSE content END AS content FROM el LEFT JOIN k USING (element_id)
+"""
 
 P4_SQL = rf"""
 WITH n AS (SELECT chunk_id, trim(regexp_replace(lower(regexp_replace(content, '^[^\n]*(\n|$)', '')), '{WS}+', ' ', 'g')) AS t FROM chunks WHERE chunk_type = 'text' AND content IS NOT NULL),
@@ -147,4 +179,4 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
+    return {"p2_found": P2_SQL, "p2_coverage": P2_COVERAGE_SQL, "p3_found": P3_SQL, "p3_cleaned": P3_CLEANED_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}

@@ -4,10 +4,12 @@ Every line's documents are kept as a compressed bitmap: documents are numbered d
 of a bitmap only the non-empty 64-bit words are stored (company, line, word number, word). Words are OR-ed, first
 per variant of a line and then over the variants that agree in their letters; both are aggregates with a map-side
 combine of 8 bytes, so a line found in a third of all documents never meets in one task. A line's cardinality is
-the sum of its words' bit counts.
+the sum of its words' bit counts. What is to go from an element is a bitmap of its line numbers, and the text is
+rebuilt by looking each line up in it.
 
 Defined results: elements without content, document or company give nothing; an element delivered twice counts
-once (its latest delivery); lines without letters are no case; line numbers count all lines, blank ones included.
+once (its latest delivery); lines without letters are no case; line numbers count all lines, blank ones included;
+documents and lines are told apart by hashes of 96 bits.
 """
 
 from __future__ import annotations
@@ -30,6 +32,18 @@ def latest(df: DataFrame, key: str, at: str) -> DataFrame:
     return best.select(key, *[F.col(f"__r.{c}").alias(c) for c in cols])
 
 
+def current(elements: DataFrame, key: str = "element_id", text: str = "content", at: str = "ingested_at", most: int = 100_000) -> DataFrame:
+    """The elements without deliveries whose text differs from that of the latest. Deliveries mostly agree, so only the
+    elements whose deliveries differ are looked up; up to `most` of them without a shuffle of the texts."""
+    if at not in elements.columns:
+        return elements
+    h = F.xxhash64(text)
+    last = elements.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max_by(h, F.coalesce(F.col(at).cast("double"), F.lit(-1e18))).alias("__h"), (F.min(h) != F.max(h)).alias("__differ")).where("__differ").drop("__differ")
+    last = checkpoint(last)
+    last = F.broadcast(last) if last.limit(most + 1).count() <= most else last
+    return elements.join(last, F.col(key) == F.col("__k"), "left").where(F.col("__h").isNull() | (F.col("__h") == h)).drop("__k", "__h")
+
+
 def element_lines(elements: DataFrame) -> DataFrame:
     """(element_id, document, line_no, line, key) of text elements' lines with letters, one row a line."""
     split = F.posexplode(F.split("content", r"\r?\n"))
@@ -58,6 +72,7 @@ def line_bitmaps(lines: DataFrame, numbered: DataFrame) -> DataFrame:
 def repeated_lines(elements: DataFrame, manifest: DataFrame, min_docs: int = 4, min_share: float = 0.4) -> DataFrame:
     """(element_id, line_no) of every line that occurs in at least `min_docs` distinct documents of its company
     and in at least `min_share` of the company's documents that occur in `elements`."""
+    elements = current(elements)
     docs = elements.where("document is not null").select("document").distinct().join(manifest.where("company is not null").groupBy("document").agg(F.first("company").alias("company")), "document")
     numbered = dense_index(docs, ["company"], ["document"], "doc_no").select(F.xxhash64("document").alias("d1"), F.hash("document").alias("d2"), "company", "doc_no")
     sizes = docs.groupBy("company").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -75,6 +90,8 @@ def without_lines(elements: DataFrame, found: DataFrame, key: str = "element_id"
 
     Elements without a found line keep their text unchanged.
     """
-    gone = found.groupBy(F.col(key).alias("__k")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split(text, r"\r?\n").alias("l"), F.sequence(F.lit(0), F.size(F.split(text, r"\r?\n")) - 1).alias("i")), lambda x: ~F.array_contains("__gone", x["i"].cast("bigint"))), lambda x: x["l"]), "\n")
+    words = found.groupBy(F.col(key).alias("__k"), F.floor(F.col("line_no") / 64).cast("bigint").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line_no % 64 as int))")).alias("b"))
+    gone = words.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("__gone"))
+    set_ = lambda i: F.getbit(F.coalesce(F.try_element_at("__gone", F.floor(i / 64).cast("bigint")), F.lit(0).cast("bigint")), (i % 64).cast("int")) == 1
+    kept = F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x, i: ~set_(i)), "\n")
     return elements.join(gone, F.col(key) == F.col("__k"), "left").withColumn(text, F.when(F.col("__gone").isNotNull() & F.col(text).isNotNull(), kept).otherwise(F.col(text))).drop("__k", "__gone")
