@@ -20,7 +20,7 @@ import json
 import random
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -123,7 +123,11 @@ def _position(text: str, p: int) -> Gap:
 
 def gaps(text: str) -> list[Gap]:
     """The open gaps of a text, in order, with their features."""
-    out: list[Gap] = []
+    return list(iter_gaps(text))
+
+
+def iter_gaps(text: str) -> Iterator[Gap]:
+    """The open gaps one by one: of a long text only one is held with its features at a time."""
     marks, at, stack, n = list(_MARKS.finditer(text)), 0, [], len(text)
     low, closing = False, set()  # the “ that close a „
     for x in marks:
@@ -143,7 +147,7 @@ def gaps(text: str) -> list[Gap]:
         s, e = m.span()
         while i < len(free) and free[i] <= s:
             if free[i] < s and free[i] > done:
-                out.append(_position(text, free[i]))
+                yield _position(text, free[i])
             i += 1
         if s < done:
             continue
@@ -225,16 +229,13 @@ def gaps(text: str) -> list[Gap]:
         bare = bool(re.fullmatch(r"\(?\d{1,3}\)?", line0.strip(".) ")))
         caps = line0.isupper() and len(line0) > 4
         seg = [f"t{t}w{gapkind}f{first}n{_bucket(words)}", f"t{t}i{item}w{gapkind}", f"t{t}b{bare}k{k}", f"t{t}i{item}w{gapkind}k{k}", f"t{t}C{caps}w{gapkind}k{k}", f"t{t}w{gapkind}n{_bucket(words)}k{k}f{first}"]
-        out.append(Gap(end, nxt, feats, seg))
+        yield Gap(end, nxt, feats, seg)
         last_end = nxt
-    out += [_position(text, p) for p in free[i:] if p > done]
-    return out
+    yield from (_position(text, p) for p in free[i:] if p > done)
 
 
-def viterbi(cand: list[Gap], w: dict[str, float]) -> list[int]:
+def viterbi(cand: Iterable[Gap], w: dict[str, float]) -> list[int]:
     """The best tags (1 boundary, 0 inside) of a text's gaps."""
-    if not cand:
-        return []
     get = w.get
     s0, s1, back = -1e9, 0.0, []  # before the first gap the state is boundary: a text starts a unit
     for g in cand:
@@ -430,11 +431,18 @@ def split(text: str | None, weights: dict[str, float]) -> list[tuple[int, int]]:
     if not text or not text.strip():
         return []
     out, start = [], len(text) - len(text.lstrip())
-    g = gaps(text)
-    for x, y in zip(g, viterbi(g, weights)):
-        if y and x.end > start:
-            out.append((start, x.end))
-            start = x.next
+    places: list[tuple[int, int]] = []
+
+    def noted() -> Iterator[Gap]:
+        for g in iter_gaps(text):
+            places.append((g.end, g.next))
+            yield g
+
+    tags = viterbi(noted(), weights)
+    for (stop, following), y in zip(places, tags):
+        if y and stop > start:
+            out.append((start, stop))
+            start = following
     end = len(text.rstrip())
     if end > start:
         out.append((start, end))
