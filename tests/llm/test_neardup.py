@@ -61,3 +61,14 @@ def test_groups_and_word_shingles(spark):
 def test_normal_body(spark):
     df = spark.createDataFrame([("[H]\n A  b\r\nC ",), ("only header",), (None,)], "x string")
     assert [r.y for r in df.select(N.normal_body(df.x).alias("y")).collect()] == ["a b c", "", None]
+
+
+def test_blocks_of_a_hot_bucket(spark):
+    """A bucket that holds a third of all members gives the same pairs in one block and in many, each once."""
+    r = random.Random(3)
+    rows = [(1, i) for i in range(40)] + [(k, r.randrange(200)) for k in range(2, 40) for _ in range(r.randint(1, 4))]
+    want = {(a, b) for k in {k for k, _ in rows} for a in {x for y, x in rows if y == k} for b in {x for y, x in rows if y == k} if a < b}
+    df = spark.createDataFrame(rows, "k bigint, r bigint").distinct()
+    for block in (1000, 7, 1):
+        got = [(x.a, x.b) for x in N.candidate_pairs(df, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

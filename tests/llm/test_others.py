@@ -290,3 +290,33 @@ def test_scores_cover_all_windows(spark, bound):
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")
     got = {x.doc_id: x.score for x in L.leak_pairs(d, i, block_seeds=bound).collect()}
     assert got == {k: L.smith_waterman(item, s) for k, s in docs} and got[1] == 600 and got[2] == 510
+
+
+def test_a_remnant_is_no_verdict(spark):
+    """Whole closing lines that look like a cut's remnant stay; texts cut inside a sentence are found with and without."""
+    docs, _ = corpus()
+    closing = ["Managed by R&D", "Contact: AT&T", "Signed, P&L", "The filing is complete. [more]"]
+    body = "The plan was approved by the board. "
+    docs += [(70_000 + 10 * k + j, body * (j + 2) + "\n" + c) for k, c in enumerate(closing) for j in range(8)]
+    cut = [(80_000 + i, body * 3 + "The plan was appro" + m) for i, m in enumerate(["…", " [...]", "&am", "<b", "�", ""])]
+    df = spark.createDataFrame([(i, t, "en") for i, t in [(d[0], d[1]) for d in docs] + cut], "doc_id bigint, text string, lang string")
+    got = {x.doc_id for x in T.truncated(df).where("cut").collect()}
+    assert {i for i, _ in cut} <= got and not {i for i in got if 70_000 <= i < 80_000}
+    assert all(T.MARK.search(x) is None for x in ("Managed by R&D", "Contact: AT&T", "Signed, P&L")) and T.MARK.search("half&am") and T.MARK.search("x &#8")
+
+
+def test_latest_delivery_counts(spark):
+    """A line that only an earlier delivery held is no case, however many elements were delivered twice."""
+    man = spark.createDataFrame([(f"d{i}", "co") for i in range(5)], "document string, company string")
+    rows = [(i, "text", "Old notice\nbody %d" % i, f"d{i}", 1) for i in range(5)] + [(i, "text", "New notice\nbody %d" % i, f"d{i}", 2) for i in range(5)]
+    els = spark.createDataFrame(rows, "element_id bigint, element_type string, content string, document string, at int").withColumn("ingested_at", F.timestamp_seconds("at"))
+    want = {(i, n) for i in range(5) for n in (0, 1)}
+    for most in (100_000, 0):
+        kept = R.current(els, most=most)
+        assert {(r.element_id, r.content[:3]) for r in kept.collect()} == {(i, "New") for i in range(5)}
+    assert {(r.element_id, r.line_no) for r in R.repeated_lines(els, man).collect()} == want
+    text = {r.element_id: r.content for r in R.without_lines(R.latest(els, "element_id", "ingested_at"), R.repeated_lines(els, man).where("line_no = 0")).collect()}
+    assert text == {i: f"body {i}" for i in range(5)}
+    long = spark.createDataFrame([(1, "\n".join(str(i) for i in range(200)))], "element_id bigint, content string")
+    gone = spark.createDataFrame([(1, n) for n in (0, 63, 64, 127, 199)], "element_id bigint, line_no bigint")
+    assert R.without_lines(long, gone).first().content == "\n".join(str(i) for i in range(200) if i not in (0, 63, 64, 127, 199))
