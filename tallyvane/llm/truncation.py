@@ -17,7 +17,8 @@ likelihood ratio between texts that go on and texts that end, as found in the co
 Contexts are counted at all positions of all texts: a fixed-size bit filter of the contexts in which some text
 ends keeps out the others (false positives cost rows, not correctness), counts are pre-aggregated per batch, and
 as contexts nest, longer ones are looked at only where the shorter one passed. Contexts of few characters belong to
-most texts; their counts are joined under as many salts as the session has shuffle partitions.
+most texts; their counts are joined under as many salts as the session has shuffle partitions, at most 256 (the adaptive
+skew join splits what is still hot; more copies of each count would cost more than they spread).
 
 Defined results: null, empty and blank texts are no case; ties and copies get the same verdict; unknown languages
 share one threshold.
@@ -52,6 +53,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def remnant(text: str, longest: int = 80) -> re.Match | None:
+    """The remnants at the end of a text, of `longest` characters at most."""
+    return MARK.search(text, max(0, len(text) - longest))
+
+
 def mask(text: str) -> str:
     """Names as X, code words as Q, digits as 0, initials as I., line breaks as one line feed, spaces of list
     items as _."""
@@ -113,8 +119,8 @@ def _end_contexts(docs: DataFrame) -> DataFrame:
             kinds, tails, hs = [], [], []
             for t in pdf["t"]:
                 t = t.rstrip()
-                m = MARK.search(t)
-                s = mask(t[: m.start()] if m else t)
+                m = remnant(t)
+                s = mask(t[: m.start()] if m else t)[-ORDERS[-1] :]
                 p = hasher.prefix(s)
                 n = len(s)
                 ks = orders[: np.searchsorted(orders, n, side="right")]
@@ -177,7 +183,7 @@ def _continuations(docs: DataFrame, keys: DataFrame, per_key: int = 16, most_bit
         for pdf in batches:
             for t in pdf["t"]:
                 t = t.rstrip()
-                m = MARK.search(t, max(0, len(t) - 40))
+                m = remnant(t)
                 s = mask(t[: m.start()] if m else t)
                 texts.append(s)
                 have += len(s)
@@ -263,7 +269,7 @@ def _valley(h: dict[int, float]) -> tuple[int, int]:
     return math.floor(sums[i] / below[i]), math.ceil(rest[i] / above[i])
 
 
-def end_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", hot_orders: int = 4) -> DataFrame:
+def end_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", hot_orders: int = 4, most_salts: int = 256) -> DataFrame:
     """(key, l, kind, log_end) of every non-blank text."""
     raw = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("d"), language(F.col(lang)).alias("l"), F.col(text).alias("t"))
     ends = checkpoint(_end_contexts(raw))
@@ -274,7 +280,7 @@ def end_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     on = _continuations(spread(raw.select("t")), keys.select("h"))
     # contexts of the model: both counts of every context in which some text ends
     model = keys.join(on, "h", "left").fillna(0, ["n_on"])
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(most_salts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     every = F.when(F.col("o") < hot_orders, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     long = ends.select("d", "l", "kind", F.posexplode("h").alias("o", "h")).withColumn("salt", F.when(F.col("o") < hot_orders, F.pmod(F.col("d"), F.lit(salts)).cast("int")).otherwise(0))
     joined = long.join(model.withColumn("salt", F.explode(every)), ["o", "h", "salt"]).groupBy("d", "l", "kind").agg(F.sort_array(F.collect_list(F.struct("o", "n_end", "n_on"))).alias("s"))
