@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,22 +38,65 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary folder is
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary folder is
     used on a single machine (``local``); on a cluster it is an error, as executors would not share the folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"tallyvane-{uuid.uuid4().hex}"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder, compressed by columns, for as long as one computation needs them: `keep` writes a
+    table and reads it back (cutting the lineage as a checkpoint does), `drop` deletes one, `close` all that are left."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.kept = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, self.kept = f"{self.folder}/{self.kept}", self.kept + 1
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            self._delete(path)
+
+    def close(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A Scratch that is emptied at the end. Meanwhile each execution's shuffle files go when it ends, not when the
+    driver happens to collect its garbage: only for executions whose results are kept, none is executed twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, s = spark.conf.get(key, None), Scratch(spark)
+    spark.conf.set(key, "true")
+    try:
+        yield s
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        s.close()
+
+
 def spread(df: DataFrame, *cols) -> DataFrame:
     """Give every core work before a costly per-row stage: few large input splits otherwise leave cores idle.
 

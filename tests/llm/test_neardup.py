@@ -72,3 +72,52 @@ def test_blocks_of_a_hot_bucket(spark):
     for block in (1000, 7, 1):
         got = [(x.a, x.b) for x in N.candidate_pairs(df, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("block", [1000, 70, 5])
+def test_pairs_alike_by_chance_stay_in_their_bucket(spark, block):
+    """Of the pairs of a bucket only those whose sketches agree come out, each once: in place, in blocks and in rounds."""
+    r = np.random.default_rng(7)
+    group = r.integers(0, 30, 150)
+    sketches = r.integers(-(2**63), 2**63, (30, 8))[group]
+    sketches[:, 0] ^= 1 << r.integers(0, 50, 150)
+    keys = np.stack([r.integers(0, 2, 150), 10 + r.integers(0, 40, 150), 100 + np.arange(150)], axis=1)
+    want = set()
+    for a in range(150):
+        for b in range(a):
+            planes = sketches[a] ^ sketches[b]
+            apart = sum(int(np.bitwise_or.reduce(planes[h::2]).view(np.uint64)).bit_count() for h in (0, 1))
+            if apart <= 57 and (keys[a] == keys[b]).any():
+                want.add((b, a))
+    assert 0 < len(want) < 1000
+    rows = [(k.tolist(), i, *s.tolist()) for i, (k, s) in enumerate(zip(keys, sketches, strict=True))]
+    df = spark.createDataFrame(rows, "k array<bigint>, r bigint" + "".join(f", {x} bigint" for x in N.SKETCH))
+    got = [(x.a, x.b) for x in N.candidate_pairs(df, block, 57, [N.F.slice("k", i, 1) for i in (1, 2, 3)]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_disk_left_by_pairs(spark):
+    """What the search wrote is gone when it has its links: less is left than the texts take, which share most bands."""
+    from pathlib import Path
+
+    from tallyvane.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    r = random.Random(5)
+    common = " ".join(f"w{i}" for i in range(120))
+    rows = [(f"t{i:03d}", common + " " + " ".join(str(r.random()) for _ in range(40))) for i in range(300)]
+    before = size()
+    pairs = N.similar_pairs(spark.createDataFrame(rows + [("x1", rows[0][1]), ("x2", rows[1][1] + " end")], "id string, t string"))
+    assert size() - before < sum(len(t) for _, t in rows) / 2
+    assert not list(folder.rglob("scratch-*"))
+    assert {(x.a, x.b) for x in pairs.collect()} == {("t000", "x1"), ("t001", "x2")}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_pairs_of_a_repeated_id(spark):
+    """An id that stands for two texts, both like a third: the pair comes once."""
+    t = " ".join(f"word{i}" for i in range(80))
+    rows = [("a", t), ("a", t + " more"), ("b", t), ("c", t)]
+    got = sorted((x.a, x.b) for x in N.similar_pairs(spark.createDataFrame(rows, "id string, t string")).collect() if x.a != x.b)
+    assert got == [("a", "b"), ("a", "c"), ("b", "c")]
