@@ -44,10 +44,15 @@ MARK = re.compile(rf"(?:\s*(?:(?P<b>\[(?:\.\.\.|…|[a-z ]{{0,12}})\])|(?P<e>…
 KINDS = ("", "b", "e", "c", "t", "n")
 _NAME = re.compile(r"[A-Z][a-z]{4,}(?: [A-Z][a-z]{2,3}(?= [A-Z][a-z]{4}))?")
 _CODE = re.compile(r"(?:[A-Z0-9]{2,}-)+[A-Z0-9]+")
-_DIGITS = re.compile(r"[0-9]+")
+# patterns that begin with a set of characters are sought fastest: one digit and more, an initial with no letter before it
+_DIGITS = re.compile(r"[0-9][0-9]*")
 _CODE_HINT = re.compile(r"-[A-Z0-9]{2,}")
-_INITIAL = re.compile(r"\b[A-Z]\. ")
+_INITIAL = re.compile(r"[A-Z]\. (?<!\w...)")
 _ITEM = re.compile(r"(?m)^(?:[•*·–-]|0[.)]) .*$")
+_RAW_ITEM = re.compile(r"[^\S\n]*(?:[•*·–-]|[0-9]+[.)]) ")
+_MARK_HINT = re.compile(r"[\[…�<&]")
+#: Stands between texts laid end to end; no text has it, as UTF-8 cannot hold half a surrogate pair.
+_GAP = "\ud800"
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -55,13 +60,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def remnant(text: str, longest: int = 80) -> re.Match | None:
     """The remnants at the end of a text, of `longest` characters at most."""
-    return MARK.search(text, max(0, len(text) - longest))
+    start = max(0, len(text) - longest)
+    return MARK.search(text, start) if _MARK_HINT.search(text, start) else None
 
 
-def mask(text: str) -> str:
+def mask(text: str, codes: bool | None = None) -> str:
     """Names as X, code words as Q, digits as 0, initials as I., line breaks as one line feed, spaces of list
-    items as _."""
-    if _CODE_HINT.search(text):
+    items as _. Code words are sought where a text has one of the usual form; `codes` tells so for a part of a text."""
+    if _CODE_HINT.search(text) if codes is None else codes:
         text = _CODE.sub("Q", text)
     t = _DIGITS.sub("0", _NAME.sub("X", text))
     if ". " in t:
@@ -71,6 +77,24 @@ def mask(text: str) -> str:
     return t
 
 
+def masked_end(text: str, codes: bool, size: int = ORDERS[-1], window: int = 192) -> str:
+    """The last `size` characters of the masked text, from a window at its end that is doubled until it holds them.
+
+    A window begins at a space, so that no word is cut; what stands for the text before it tells whether there was a line
+    break and whether the line is a list item. Up to five masked characters at its start may differ from the whole
+    text's: the stand-in and a short second name (" Van") that belongs to a name before the window.
+    """
+    while window < len(text):
+        at = text.find(" ", len(text) - window)
+        line = text.rfind("\n", 0, max(at, 0)) + 1
+        if at > line and not text[line:at].isspace():
+            s = mask(("\n" if line else "") + ("•" if _RAW_ITEM.match(text, line) else "X") + text[at:], codes)
+            if len(s) >= size + 8:
+                return s[-size:]
+        window *= 2
+    return mask(text, codes)[-size:]
+
+
 class Hasher:
     """Hashes of the k characters before a position, from prefix sums modulo 2^64."""
 
@@ -88,9 +112,7 @@ class Hasher:
     @staticmethod
     def single(codes: np.ndarray) -> np.ndarray:
         """The hashes that `at` gives for contexts of one character."""
-        h = (codes.astype(np.uint64) + np.uint64(8)) * np.uint64(1)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+        return Hasher._mixed(codes.astype(np.uint64) + np.uint64(8))
 
     def prefix(self, text: str) -> np.ndarray:
         c = self.codes(text).astype(np.uint64) + np.uint64(7)
@@ -103,8 +125,22 @@ class Hasher:
     def at(self, prefix: np.ndarray, pos: np.ndarray, k: int | np.ndarray) -> np.ndarray:
         start = pos - k
         h = (prefix[pos] - prefix[start]) * self.inverse[start] + (k.astype(np.uint64) if isinstance(k, np.ndarray) else np.uint64(k))
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+        return self._mixed(h)
+
+    def everywhere(self, prefix: np.ndarray, first: int, k: int) -> np.ndarray:
+        """What `at` gives for all positions from `first` that have a character behind them."""
+        last = len(prefix) - 1
+        h = prefix[first:last] - prefix[first - k : last - k]
+        h *= self.inverse[first - k : last - k]
+        h += np.uint64(k)
+        return self._mixed(h)
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return h
 
 
 def _end_contexts(docs: DataFrame) -> DataFrame:
@@ -116,25 +152,31 @@ def _end_contexts(docs: DataFrame) -> DataFrame:
 
         hasher, orders = Hasher(), np.array(ORDERS)
         for pdf in batches:
-            kinds, tails, hs = [], [], []
-            for t in pdf["t"]:
+            ends, kinds, tails, full = [], [], [], []
+            for t, code in zip(pdf["t"], pdf["code"]):
                 t = t.rstrip()
-                m = remnant(t)
-                s = mask(t[: m.start()] if m else t)[-ORDERS[-1] :]
-                p = hasher.prefix(s)
-                n = len(s)
-                ks = orders[: np.searchsorted(orders, n, side="right")]
-                hs.append(hasher.at(p, np.full(len(ks), n), ks).view(np.int64).tolist())
-                kinds.append(KINDS.index(m.lastgroup) if m else 0)
-                tails.append(xxhash.xxh64_intdigest(t[-200:].encode("utf-8", "surrogatepass")))
-            yield pd.DataFrame({"d": pdf["d"], "l": pdf["l"], "n": pdf["n"], "kind": np.array(kinds, np.int32), "tail": np.array(tails, np.uint64).view(np.int64), "h": hs})
-
-    # the last 800 characters and the rest of the line they begin in, with its line feed (list items are marked only
-    # in texts of several lines): enough for the longest context, a remnant and the whole list item they stand in;
-    # only these travel to the cores
-    t, head = F.rtrim("t", F.lit(_BLANKS)), F.expr("left(t, length(t) - 800)")
+                full.append(bool(t))
+                if t:
+                    m = remnant(t)
+                    code = bool(code or _CODE_HINT.search(t))
+                    ends.append(masked_end(t[: m.start()] if m else t, code))
+                    kinds.append(KINDS.index(m.lastgroup) if m else 0)
+                    tails.append(xxhash.xxh64_intdigest(t[-200:].encode("utf-8", "surrogatepass")))
+            # the ends laid end to end behind a gap as long as the longest context
+            sizes = np.array([len(s) for s in ends], np.int64)
+            h = hasher.at(hasher.prefix(_GAP * ORDERS[-1] + "".join(ends)), (ORDERS[-1] + np.cumsum(sizes))[:, None], orders[None, :]).view(np.int64)
+            hs = [r[:n].tolist() for r, n in zip(h, np.searchsorted(orders, sizes, side="right"))]
+            of = pdf[np.array(full, bool)]
+            yield pd.DataFrame({"d": of["d"].to_numpy(), "l": of["l"].to_numpy(), "n": of["n"].to_numpy(), "kind": np.array(kinds, np.int32), "tail": np.array(tails, np.uint64).view(np.int64), "h": hs})
+
+    # of texts of over 4,096 bytes the last 800 characters and the rest of the line they begin in, with its line feed
+    # (list items are marked only in texts of several lines), and whether the whole has a code word: enough for the
+    # longest context, a remnant and the whole list item they stand in; only these travel to the cores
+    long = F.octet_length("t") > 4096
+    head = F.expr("left(t, length(t) - 800)")
     line = F.concat(F.when(F.instr(head, "\n") > 0, "\n").otherwise(""), F.substring_index(head, "\n", -1))
-    short = docs.select("d", "l", F.length("t").alias("n"), t.alias("t")).select("d", "l", "n", F.when(F.length("t") > 800, F.concat(line, F.expr("right(t, 800)"))).otherwise(F.col("t")).alias("t")).where(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
+    short = docs.select("d", "l", F.length("t").alias("n"), F.when(long, F.rtrim("t", F.lit(_BLANKS))).otherwise(F.col("t")).alias("t"))
+    short = short.select("d", "l", "n", F.when(long & (F.length("t") > 800), F.concat(line, F.expr("right(t, 800)"))).otherwise(F.col("t")).alias("t"), F.when(long, F.col("t").rlike("-[A-Z0-9]{2}")).otherwise(False).alias("code"))
     return spread(short).mapInPandas(run, "d bigint, l string, n bigint, kind int, tail bigint, h array<bigint>")
 
 
@@ -151,31 +193,32 @@ def _continuations(docs: DataFrame, keys: DataFrame, per_key: int = 16, most_bit
     shift = np.uint64(64 - (bits.bit_length() - 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, filt = Hasher(), shared.value
+        hasher, filt, most = Hasher(), shared.value, ORDERS[-1]
 
         def counted(parts: list[np.ndarray]) -> pd.DataFrame:
             u, n = np.unique(np.concatenate(parts), return_counts=True)
             return pd.DataFrame({"h": u.view(np.int64), "n": n.astype(np.int64)})
 
+        def passing(h: np.ndarray) -> np.ndarray:
+            i = h >> shift
+            return (filt[(i >> np.uint64(6)).view(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
+
         def hits(texts: list[str]) -> list[np.ndarray]:
-            """The passing contexts of two characters and more of texts laid end to end."""
-            sizes = np.array([len(s) for s in texts])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            p = hasher.prefix("".join(texts))
-            # offset within its text of each position; a text's own end is no continuation
-            within = np.arange(len(p) - 1) - np.repeat(starts, sizes)
-            pos, out = np.flatnonzero(within >= 2), []
-            room = within[pos]
-            for k in ORDERS[1:]:
-                if k > 2:
-                    far = room >= k
-                    pos, room = pos[far], room[far]
-                if not len(pos):
-                    break
+            """The passing contexts of two characters and more of texts laid end to end with gaps between: what reaches
+            over a gap is no context of a key."""
+            s = _GAP * most + _GAP.join(texts)
+            p, out = hasher.prefix(s), []
+            # a text's own end is no continuation
+            ok = hasher.codes(s)[most:] != ord(_GAP)
+            for k in ORDERS[1:4]:  # most positions pass: all are hashed, without an index
+                h = hasher.everywhere(p, most, k)
+                ok &= passing(h)
+                out.append(h[ok])
+            pos = np.flatnonzero(ok) + most
+            for k in ORDERS[4:]:
                 h = hasher.at(p, pos, k)
-                i = h >> shift
-                ok = (filt[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
-                pos, room, h = pos[ok], room[ok], h[ok]
+                ok = passing(h)
+                pos, h = pos[ok], h[ok]
                 out.append(h)
             return out
 

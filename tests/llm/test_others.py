@@ -280,6 +280,33 @@ def test_end_contexts_of_long_list_items(spark):
         assert got[i] == h.at(h.prefix(s), np.full(len(ks), len(s)), ks).view(np.int64).tolist()
 
 
+def test_code_words_at_the_end_of_a_text_that_has_one_at_its_start(spark):
+    """What tells that a text has code words counts for its end too, however far before it stands."""
+    import numpy as np
+
+    texts = ["Order ACME-2024 was filed.\n" + "The plan was approved by the board.\n" * n + "See section AB-1" for n in (2, 8, 30, 200)]
+    df = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "d bigint, l string, t string")
+    got = {x.d: x.h for x in T._end_contexts(df).collect()}
+    h = T.Hasher()
+    for i, t in enumerate(texts):
+        s = T.mask(t)
+        assert s.endswith("section Q")
+        assert got[i] == h.at(h.prefix(s), np.full(len(T.ORDERS), len(s)), np.array(T.ORDERS)).view(np.int64).tolist()
+
+
+def test_masked_ends_by_windows(monkeypatch):
+    """The end of a masked text comes from a window of it, the same as from the whole."""
+    r = random.Random(4)
+    words = ["Vornal", "Van", "Ltd", "  ", "\n", " \n ", "- ", "• ", "1. ", "12) ", "A. ", "AB-12", "X-1", "revenue", "and", "the", "2024", "McDonald", "Smith. ", "東京。", "\t", "–", "_", "a", " " * 300, "Q" * 300, "7" * 300, "- long item of " + "words " * 60]
+    for _ in range(3000):
+        t = "".join(r.choice(words) + r.choice(["", " "]) for _ in range(r.randint(0, 150))).rstrip()
+        assert T.masked_end(t, bool(T._CODE_HINT.search(t))) == T.mask(t)[-32:]
+    read, mask = [], T.mask
+    monkeypatch.setattr(T, "mask", lambda t, *a: read.append(len(t)) or mask(t, *a))
+    T.masked_end("The plan was approved by the board.\n" * 100, False)
+    assert sum(read) < 250
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 20])
 def test_scores_cover_all_windows(spark, bound):
     """A full or edited copy behind an early short quotation is scored whole, whatever the number of seeds."""
